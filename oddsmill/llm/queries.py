@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsmill.llm import bpe, exact_dedup, mixing
+from oddsmill.llm import bpe, exact_dedup, mixing, near_dedup, token_files
 from oddsmill.llm.common import documents
 
 #: Vocabulary files: installed on every node, given by path, never copied.
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +34,22 @@ def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_entropy_mix": op7_entropy_mix,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
