@@ -25,7 +25,9 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ from oddsmill.llm.common import texts
 LEAF = 1 << 14
 WINDOW = 64
 LOOKAHEAD = 3
+SLICE = 256
 
 
 class TreeBpe:
@@ -154,6 +157,26 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", data("ids").alias("data"))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``: both directions in one pass over the texts."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tree_bpe(path, pattern, leaf)
+        digits = bpe.digits.__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(i) for i in ids], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array([t for i in ids for t in i], np.int32)))
+                names = [hashlib.sha256(",".join(map(digits, i)).encode()).hexdigest() for i in ids]
+                back = [hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids]
+                columns = [part.column(0), lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(names), pa.array(back)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(coded, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: both directions in one pass over the texts."""
 

@@ -57,24 +57,40 @@ def replicated(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` may be in ``ids``; no row whose id is there is lost.
+def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int) -> tuple[DataFrame, Column]:
+    """``docs`` and whether a row's ``doc_id`` may be in ``ids``, by a broadcast bitmap.
 
-    A bitmap of 16 hashed bits an id is broadcast, so that the texts of other
-    documents need not be shuffled for the exact join that follows.  Its size is known
-    from the count of ``ids``; beyond ``most_bits`` (32 MB) no bitmap is made and
-    all rows go to the join.  ``ids`` should be a written table, as it is read twice.
+    The bitmap has at least 16 hashed bits an id.  Its size is known from the count of
+    ``ids``; beyond ``most_bits`` (32 MB) no bitmap is made and every row may be in.
     """
     bits = 1 << max(15, (16 * ids.count() - 1).bit_length())
     if bits > most_bits:
-        return docs
+        return docs, F.lit(True)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    maps = ids.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bitmap"))
-    found = docs.join(F.broadcast(maps), F.shiftright(place, 15) == F.col("bucket"))
+    maps = ids.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("_bitmap"))
+    found = docs.join(F.broadcast(maps), F.shiftright(place, 15) == F.col("_bucket"), "left")
     at = place.bitwiseAND(F.lit(32767)).cast("int")
-    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
-    return found.filter(bit == 1).select(*[docs[c] for c in docs.columns])
+    return found, F.coalesce(bit == 1, F.lit(False))
+
+
+def maybe_in(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be in ``ids``; no row whose id is there is lost.
+
+    Spares the texts of other documents the shuffle of the exact join that follows.
+    ``ids`` should be a written table, as it is read twice.
+    """
+    found, flag = _flagged(docs, ids, most_bits)
+    return found.filter(flag).select(*[docs[c] for c in docs.columns])
+
+
+def without(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in ``ids``; only the few that may be are shuffled."""
+    found, flag = _flagged(docs, ids, most_bits)
+    columns = [docs[c] for c in docs.columns]
+    sure = found.filter(~flag).select(*columns)
+    return sure.unionByName(found.filter(flag).select(*columns).join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
 
 
 def tasks(spark: SparkSession) -> int:

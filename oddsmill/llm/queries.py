@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddsmill.llm import bpe, exact_dedup, mixing, near_dedup, token_files
+from oddsmill.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, token_files
 from oddsmill.llm.common import documents
 
 #: Vocabulary files: installed on every node, given by path, never copied.
@@ -19,6 +20,14 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -44,12 +53,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op10_run_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
+    "op4_language_ppm": op4_language_ppm,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_entropy_mix": op7_entropy_mix,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_files": op9_token_files,
+    "op10_run_index_repeats": op10_run_index_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {

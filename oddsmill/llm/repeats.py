@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise, tasks, texts
+from oddsmill.llm.common import materialise, maybe_in, tasks, texts
 from oddsmill.llm.shingles import mix
 
 LENGTH = 200
@@ -263,8 +263,8 @@ def _pieces(span: int) -> Iterator[tuple[int, int]]:
 
 def _with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, text`` and the list of the document's spans, bounded by its length."""
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("span", "h")).alias("spans"))
-    return docs.join(lists, "doc_id").select("doc_id", "text", "spans.span", "spans.h")
+    lists = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("span", "h")).alias("spans")), "span-lists")
+    return maybe_in(docs, lists.select("doc_id")).join(lists, "doc_id").select("doc_id", "text", "spans.span", "spans.h")
 
 
 def _marked(docs: DataFrame, spans: DataFrame, length: int, block: int, parts: int) -> DataFrame:

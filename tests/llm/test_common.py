@@ -2,7 +2,7 @@
 
 import pytest
 
-from oddsmill.llm.common import materialise, maybe_in
+from oddsmill.llm.common import materialise, maybe_in, without
 
 
 @pytest.mark.parametrize("step", [1, 3, 97])
@@ -23,3 +23,12 @@ def test_beyond_the_bound_all_rows_stay(spark):
 def test_no_ids(spark):
     docs = spark.range(100).withColumnRenamed("id", "doc_id")
     assert maybe_in(docs, docs.filter("doc_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 9])
+def test_without(spark, most):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'t' text", "1 _p")
+    ids = materialise(spark.range(0, 4000, 7).withColumnRenamed("id", "doc_id"), "ids")
+    left = without(docs, ids, most)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [i for i in range(2000) if i % 7]
