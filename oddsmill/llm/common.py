@@ -57,8 +57,8 @@ def replicated(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int) -> tuple[DataFrame, Column]:
-    """``docs`` and whether a row's ``doc_id`` may be in ``ids``, by a broadcast bitmap.
+def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int, key: str = "doc_id") -> tuple[DataFrame, Column]:
+    """``docs`` and whether a row's ``key`` may be in ``ids``, by a broadcast bitmap.
 
     The bitmap has at least 16 hashed bits an id.  Its size is known from the count of
     ``ids``; beyond ``most_bits`` (32 MB) no bitmap is made and every row may be in.
@@ -66,7 +66,7 @@ def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int) -> tuple[DataFrame
     bits = 1 << max(15, (16 * ids.count() - 1).bit_length())
     if bits > most_bits:
         return docs, F.lit(True)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
     maps = ids.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("_bitmap"))
     found = docs.join(F.broadcast(maps), F.shiftright(place, 15) == F.col("_bucket"), "left")
     at = place.bitwiseAND(F.lit(32767)).cast("int")
@@ -75,13 +75,13 @@ def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int) -> tuple[DataFrame
     return found, F.coalesce(bit == 1, F.lit(False))
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` may be in ``ids``; no row whose id is there is lost.
+def maybe_in(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` may be in ``ids``; no row whose key is there is lost.
 
     Spares the texts of other documents the shuffle of the exact join that follows.
     ``ids`` should be a written table, as it is read twice.
     """
-    found, flag = _flagged(docs, ids, most_bits)
+    found, flag = _flagged(docs, ids, most_bits, key)
     return found.filter(flag).select(*[docs[c] for c in docs.columns])
 
 

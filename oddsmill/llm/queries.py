@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmill.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, token_files
+from oddsmill.llm import bpe, exact_dedup, language, mixing, near_dedup, personal_data, quality, repeats, token_files, version_sketch
 from oddsmill.llm.common import documents
 
 #: Vocabulary files: installed on every node, given by path, never copied.
@@ -20,6 +20,14 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
 
+def op1_version_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_sketch.versions(documents(spark, sf_dir))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.listed(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -59,6 +67,8 @@ def op10_run_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_version_sketch": op1_version_sketch,
+    "op2_personal_data": op2_personal_data,
     "op3_quality": op3_quality,
     "op4_language_ppm": op4_language_ppm,
     "op5_exact_dedup": op5_exact_dedup,
