@@ -3,18 +3,19 @@
 1. Each text becomes its set of hashed 5-word shingles, 200 universal hash minima
    over it, one key for each band of 5 minima, and a digest of the whole set.
 2. Texts with the same set are one class; only classes are compared.
-3. Stars: in every band bucket, each member is paired with the bucket's least
-   member.  A pair passes the size bound, then the signature, and is confirmed on
-   the full sets.  Confirmed links give components.
+3. Rounds of stars: in every band bucket whose members are not yet in one component,
+   each member is paired with the bucket's first member in an order that changes
+   from round to round, if their components differ.  A pair passes the size bound,
+   then the signature, and is confirmed on the full sets.  Confirmed links join
+   components.  Rounds end when one confirms few links.
 4. The rest: buckets whose members are still in different components.  Members of
-   small buckets (at most ``SMALL``) are paired across components.  Members of larger
-   ones are joined on the rarest shingles of their sets: sets of similarity t share
-   one of their ``n - ceil(t * n) + 1`` rarest, so no pair is lost and shared
-   boilerplate makes no pairs.  Pairs are confirmed as before.
-5. Components over all confirmed links.
+   small buckets (at most ``SMALL``) are paired across components and confirmed as
+   before.  Larger buckets that share members form a crowd; a crowd is cut into
+   blocks of about ``BLOCK`` shingles by set size, blocks whose sizes fit meet in
+   tasks of their own, and only confirmed links leave a task.
 
 A pair of similarity 0.75 shares no band with probability 2e-5, and the signature
-bound (0.55 of the minima) rejects it with a smaller one.  There is no cap on
+bound (0.6 of the minima) rejects it with a smaller one.  There is no cap on
 partners or candidates.
 
 Edge cases: texts without words (null, empty, white space) have no shingle and are
@@ -30,19 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from oddsmill.llm.common import materialise, texts
+from oddsmill.llm.common import materialise, maybe_in, texts
 from oddsmill.llm.components import components
 from oddsmill.llm.shingles import MinHash, mix, shingle_sets
 
 BANDS, ROWS = 40, 5
 SIZE = 5
 SIMILAR = 75  # per cent
-AGREE = 0.55
+AGREE = 0.6
 SMALL = 64
+TURNS = 8
+BLOCK = 50_000
 SLICE = 128
 
 
@@ -91,75 +94,129 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similar: int, size: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are links: by set sizes, then signature, then the full sets."""
+    """The pairs (a, b, na, nb, ca, cb) that are links: by set sizes, then signature, then the full sets."""
     fit = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar)
     short = signs.select("doc_id", "short")
     fit = fit.join(short.withColumnsRenamed({"doc_id": "a", "short": "sa"}), "a").join(short.withColumnsRenamed({"doc_id": "b", "short": "sb"}), "b")
-    likely = materialise(fit.filter(_agreement("sa", "sb") >= AGREE).select("a", "b", "na", "nb"), "likely")
+    likely = materialise(fit.filter(_agreement("sa", "sb") >= AGREE).select(*pairs.columns), "likely")
     ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "likely-ids")
-    sets = materialise(_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "likely-sets")
+    sets = materialise(_sets(maybe_in(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "likely-sets")
     both = likely.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "xb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a")
     shared = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * similar).select("a", "b")
+    return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * similar).select("a", "b", "ca", "cb")
+
+
+def _block_links(similar: int):
+    """Links between two blocks (side 0 and 1) of a crowd, or within one, on the full sets."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["side"] == 0]
+        right = rows[rows["side"] == 1] if (rows["side"] == 1).any() else left
+        sets = [np.asarray(x, np.int64) for x in right["shingles"]]
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        ids, parts = right["doc_id"].to_numpy(), right["c"].to_numpy()
+        mark, out = np.zeros(len(names), bool), []
+        for a, ca, x in zip(left["doc_id"], left["c"], left["shingles"], strict=True):
+            x = np.asarray(x, np.int64)
+            place = np.minimum(np.searchsorted(names, x), len(names) - 1)
+            own = place[names[place] == x]
+            mark[own] = True
+            shared = np.add.reduceat(mark[at].astype(np.int64), starts)
+            mark[own] = False
+            link = (shared * 100 >= (sizes + len(x) - shared) * similar) & (parts != ca)
+            out += [(a, b, ca, cb) for b, cb in zip(ids[link].tolist(), parts[link].tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["a", "b", "ca", "cb"])
+
+    return found
+
+
+def _crowd_links(docs: DataFrame, rows: DataFrame, similar: int, size: int, block: int) -> DataFrame:
+    """Links (a, b, ca, cb) across components among the members of large open buckets: ``rows`` (key, doc_id, n, c)."""
+    firsts = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "crowd-firsts")
+    crowds = components(rows.join(firsts, "key").select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+    members = rows.select("doc_id", "n", "c").distinct().join(crowds.select(F.col("node").alias("doc_id"), F.col("component").alias("crowd")), "doc_id")
+    upto = F.sum("n").over(Window.partitionBy("crowd").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    members = materialise(members.withColumn("block", F.floor(upto / block)), "crowds")
+    spans = members.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    later = spans.select("crowd", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
+    pairs = spans.join(later, "crowd").filter((F.col("block") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo_j") * similar))
+    pairs = materialise(pairs.select("crowd", F.col("block").alias("i"), "j"), "block-pairs")
+    sides = pairs.select("crowd", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("i < j").select("crowd", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    sets = materialise(_sets(maybe_in(docs, members).join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "crowd-sets")
+    rows = members.join(sets, "doc_id").join(sides, ["crowd", "block"])
+    return rows.groupBy("crowd", "i", "j").applyInPandas(_block_links(similar), "a long, b long, ca long, cb long")
+
+
+def _placed(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (key, doc_id, n, members, c) after the links (ca, cb) between components."""
+    moved = components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    joined = placed.join(moved, placed["c"] == moved["node"], "left")
+    return materialise(joined.select("key", "doc_id", "n", "members", F.coalesce("component", "c").alias("c")), "placed")
 
 
-def _rare_pairs(docs: DataFrame, members: DataFrame, similar: int, size: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (doc_id, n, c) in different components c that share one of their rarest shingles."""
-    sets = _sets(docs.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size)
-    rows = materialise(sets.select("doc_id", F.explode("shingles").alias("s")), "rare-rows")
-    counts = materialise(rows.groupBy("s").agg(F.count("*").alias("df")), "rare-counts")
-    ranked = rows.join(counts, "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"), F.count("*").alias("n"))
-    length = (F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
-    heads = ranked.select("doc_id", F.explode(F.slice("order", F.lit(1), length)).alias("o")).filter("o.df > 1").select("doc_id", F.col("o.s").alias("s"))
-    heads = materialise(heads.join(members, "doc_id"), "rare-heads")
-    left = heads.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = heads.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar
-    return left.join(right, "s").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "na", "nb").distinct()
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows in buckets that hold more than one component."""
+    keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return materialise(placed.join(materialise(keys, "open-keys"), "key", "left_semi"), "open")
 
 
-def links(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int = SIMILAR, size: int = SIZE, small: int = SMALL) -> DataFrame:
-    """Confirmed links (a, b) between class representatives that connect all near duplicates.
+def _stars(still: DataFrame, turn: int) -> DataFrame:
+    """Each member with the first of its bucket in the order of this round, if their components differ."""
+    order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+    first = materialise(still.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("f")).select("key", "f.a", "f.na", "f.ca"), "firsts")
+    pairs = still.join(first, "key").filter("c <> ca").select("a", F.col("doc_id").alias("b"), "na", F.col("n").alias("nb"), "ca", F.col("c").alias("cb"))
+    return pairs.dropDuplicates(["a", "b"])
 
-    ``classes``: doc_id, rep.  A link within a component that other links already
-    connect may be left out.
+
+def _across(still: DataFrame) -> DataFrame:
+    """Pairs across components that may be links, of small buckets."""
+    left = still.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    right = still.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    return pairs.drop("key").dropDuplicates(["a", "b"])
+
+
+def linked(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int = SIMILAR, size: int = SIZE, small: int = SMALL, turns: int = TURNS, block: int = BLOCK) -> DataFrame:
+    """``node, component`` of the class representatives that share a bucket with others.
+
+    ``classes``: doc_id, rep.  Components are those of all links between classes.
     """
     reps = signs.join(classes.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = materialise(reps.select("doc_id", "n", F.explode("keys").alias("key")), "bands")
-    buckets = materialise(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).filter("members > 1"), "buckets")
-    shared = materialise(rows.join(buckets, "key").select("key", "doc_id", "n", "first", "members"), "shared")
-    stars = shared.filter("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb")).distinct()
+    buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    placed = materialise(rows.join(buckets, "key").select("key", "doc_id", "n", "members", F.col("doc_id").alias("c")), "shared")
     docs = docs.select("doc_id", "text")
-    found = materialise(_confirmed(stars, signs, docs, similar, size), "links")
-
-    known = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = shared.join(known, shared["doc_id"] == known["node"], "left").select("key", "doc_id", "n", "members", F.coalesce("component", "doc_id").alias("c"))
-    placed = materialise(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    still = materialise(placed.join(open_keys, "key", "left_semi"), "open")
+    still, tried = placed, None
+    for turn in range(turns):
+        pairs = materialise(_stars(still, turn), "stars")
+        found = materialise(_confirmed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), signs, docs, similar, size), "links")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links, asked = found.count(), still.select("doc_id").distinct().count()
+        if links:
+            placed = _placed(placed, found)
+            still = _open(placed)
+        if links * 50 < asked:
+            break
     few = still.filter(F.col("members") <= small)
-    left = few.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "na", "nb")
-    many = materialise(still.filter(F.col("members") > small).select("doc_id", "n", "c").distinct(), "crowded")
+    pairs = materialise(_across(few).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    found = _confirmed(pairs, signs, docs, similar, size)
+    many = materialise(still.filter(F.col("members") > small).select("key", "doc_id", "n", "c"), "crowded")
     if not many.isEmpty():
-        pairs = pairs.unionByName(_rare_pairs(docs, many, similar, size))
-    pairs = materialise(pairs.distinct(), "open-pairs")
-    if not pairs.isEmpty():
-        found = found.unionByName(materialise(_confirmed(pairs, signs, docs, similar, size), "links"))
-    return found
+        found = found.unionByName(_crowd_links(docs, many, similar, size, block))
+    placed = _placed(placed, materialise(found, "links"))
+    return placed.select(F.col("doc_id").alias("node"), F.col("c").alias("component")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     docs = texts(docs)
     signs = materialise(signatures(docs, bands, rows, size), "signatures")
     groups = signs.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     slim = signs.select("doc_id", "n", "d1", "d2")
     classes = materialise(slim.join(materialise(groups, "classes"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    found = links(docs, signs.filter("n > 0"), classes.filter("n > 0"), similar, size, small)
-    known = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = linked(docs, signs.filter("n > 0"), classes.filter("n > 0"), similar, size, small, block=block)
     placed = classes.join(known, classes["rep"] == known["node"], "left")
     component = F.coalesce("component", "rep")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -59,10 +59,10 @@ def corpus(seed, passage=0):
     return rows
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_equals_all_pairs(spark, small):
+@pytest.mark.parametrize(("small", "block"), [(64, 50_000), (2, 300)])
+def test_equals_all_pairs(spark, small, block):
     rows = corpus(1, 60)
-    assert near(spark, rows, small=small) == brute(rows)
+    assert near(spark, rows, small=small, block=block) == brute(rows)
 
 
 def test_chain_and_repeated_rows(spark):
