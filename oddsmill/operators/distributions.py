@@ -193,22 +193,26 @@ def joint_tilts(bases: DataFrame, targets: DataFrame, group: str, key: str, home
     return bases.groupBy(group).cogroup(targets.groupBy(group)).applyInPandas(solved, f"{key} {kind}, theta_home double, theta_away double")
 
 
-def margin_and_total(base: DataFrame, tilted: DataFrame, keys: list[str], max_score: int = 100) -> DataFrame:
-    """Margin and total distributions (arrays) of every tilted matrix, without its cells.
+def margin_and_total(base: DataFrame, tilted: DataFrame, max_score: int = 100) -> DataFrame:
+    """Margin and total distributions of every tilted matrix, without its cells.
 
-    ``margins[d + max_score]`` and ``totals[t]``; whole Arrow batches at once, so no fixture's
-    cells are ever rows.
+    Adds ``margin_from[d + max_score]``, the chance of a margin of d or more, ``total_from[t]``, that of a
+    total of t or more (one entry beyond the last), ``draw`` and ``mean_total``.  Whole Arrow
+    batches at once, so no fixture's cells are ever rows.
     """
     shared = tilted.sparkSession.sparkContext.broadcast(_grid(base, max_score))
     n = max_score + 1
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tilted.schema)
 
+    def upward(p: np.ndarray) -> list[np.ndarray]:
+        sums = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
+        return list(np.concatenate([sums, np.zeros((len(p), 1))], axis=1))
+
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         used_i, used_j = np.flatnonzero(p.sum(axis=1)), np.flatnonzero(p.sum(axis=0))
         for batch in batches:
-            h, a = batch["theta_home"].to_numpy()[:, None], batch["theta_away"].to_numpy()[:, None]
-            eh, ea = h * used_i, a * used_j
+            eh, ea = batch["theta_home"].to_numpy()[:, None] * used_i, batch["theta_away"].to_numpy()[:, None] * used_j
             eh, ea = np.exp(eh - eh.max(axis=1, keepdims=True)), np.exp(ea - ea.max(axis=1, keepdims=True))
             margins, totals = np.zeros((len(batch), 2 * n - 1)), np.zeros((len(batch), 2 * n - 1))
             for x, i in enumerate(used_i):
@@ -216,6 +220,7 @@ def margin_and_total(base: DataFrame, tilted: DataFrame, keys: list[str], max_sc
                 margins[:, i - used_j + max_score] += part
                 totals[:, i + used_j] += part
             mass = totals.sum(axis=1, keepdims=True)
-            yield batch.assign(margins=list(margins / mass), totals=list(totals / mass))
+            margins, totals = margins / mass, totals / mass
+            yield batch.assign(margin_from=upward(margins), total_from=upward(totals), draw=margins[:, max_score], mean_total=totals @ np.arange(2 * n - 1))
 
-    return tilted.mapInPandas(made, f"{kinds}, margins array<double>, totals array<double>")
+    return tilted.mapInPandas(made, f"{kinds}, margin_from array<double>, total_from array<double>, draw double, mean_total double")

@@ -77,20 +77,23 @@ def display(ladder: DataFrame, main: DataFrame, keys: list[str], choices: tuple[
 
 
 def ladders_of_arrays(rows: DataFrame, keys: list[str], home: str, away: str, max_score: int, reach: int = RANGE) -> DataFrame:
-    """All prices of fixtures with ``margins`` and ``totals`` arrays: one row a selection, no join and no shuffle."""
-    tail = lambda arr, first: F.aggregate(F.slice(arr, F.greatest(first + 1, F.lit(1)), F.greatest(F.size(arr) - F.greatest(first, F.lit(0)), F.lit(0))), F.lit(0.0), lambda a, x: a + x)
-    m, t = F.col("margins"), F.col("totals")
-    win, draw = tail(m, F.lit(max_score + 1)), m[max_score]
+    """All prices of fixtures with the arrays of ``margin_and_total``: one row a selection, no join and no shuffle."""
+    last = 2 * max_score + 1
     main = handicap_mainline(F.col(home), F.col(away))
-    mean = F.round(F.aggregate(F.transform(t, lambda p, i: p * i), F.lit(0.0), lambda a, x: a + x), 9)
+    mean = F.round("mean_total", 9)
+
+    def at_least(values: str, place: Column) -> Column:
+        return F.col(values)[F.least(F.greatest(place, F.lit(0)), F.lit(last)).cast("int")]
 
     def pair(market: str, line: Column, names: tuple[str, str], p: Column) -> Column:
         row = lambda n, q: F.struct(F.lit(market).alias("market"), F.lit(n).alias("selection"), line.cast("double").alias("line"), q.alias("probability"))
         return F.array(row(names[0], p), row(names[1], 1.0 - p))
 
-    odds = F.array(*[F.struct(F.lit("match_odds").alias("market"), F.lit(n).alias("selection"), F.lit(None).cast("double").alias("line"), p.alias("probability")) for n, p in (("home", win), ("draw", draw), ("away", 1.0 - win - draw))])
-    handicaps = F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: pair("handicap", main + k, ("home", "away"), tail(m, (F.floor(-(main + k)) + 1 + max_score).cast("int")))))
+    win = at_least("margin_from", F.lit(max_score + 1))
+    chances = {"home": win, "draw": F.col("draw"), "away": 1.0 - win - F.col("draw")}
+    odds = F.array(*[F.struct(F.lit("match_odds").alias("market"), F.lit(n).alias("selection"), F.lit(None).cast("double").alias("line"), p.alias("probability")) for n, p in chances.items()])
+    handicaps = F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: pair("handicap", main + k, ("home", "away"), at_least("margin_from", F.floor(-(main + k)) + 1 + max_score))))
     lines = F.sequence(F.floor(mean - reach).cast("int"), F.ceil(mean + reach).cast("int"))
-    overs = F.flatten(F.transform(lines, lambda k: pair("totals", k + F.lit(0.5), ("over", "under"), tail(t, k + 1))))
+    overs = F.flatten(F.transform(lines, lambda k: pair("totals", k + F.lit(0.5), ("over", "under"), at_least("total_from", k + 1))))
     out = rows.select(*keys, F.explode(F.concat(odds, handicaps, overs)).alias("x"))
     return out.select(*keys, "x.*", price(F.col("x.probability")).alias("decimal_price"))

@@ -27,7 +27,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priced(fixtures: DataFrame, base: DataFrame, max_score: int = MAX_SCORE) -> DataFrame:
     """Match odds and both ladders of fixtures (fixture_id, expected_home, expected_away) from a base matrix."""
     tilted = distributions.tilts(base, fixtures.select("fixture_id", "expected_home", "expected_away"), "expected_home", "expected_away", max_score)
-    pmfs = distributions.margin_and_total(base, tilted, ["fixture_id"], max_score)
+    pmfs = distributions.margin_and_total(base, tilted, max_score)
     return markets.ladders_of_arrays(pmfs, ["fixture_id"], "expected_home", "expected_away", max_score)
 
 
