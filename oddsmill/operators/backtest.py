@@ -103,3 +103,15 @@ def bootstrap(rows: DataFrame, metric: str, weight: int, base: int = 0, samples:
     n = sum((u >= c).cast("int") for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
     means = drawn.withColumn("n", n).groupBy("rep").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") < 0).cast("double")).alias("share_better"))
+
+
+def model_comparison(rows: DataFrame) -> DataFrame:
+    """One row a fixture and model: chance of the actual score, three-way prices, implied means.
+
+    ``rows`` as ``sweep`` takes them, with events of the models ``poisson`` and ``hist``; the blend is at 20 per cent.
+    """
+    from oddsmill.functions.rating import price
+
+    table = sweep(rows, "poisson", "hist", (0, 20, 100))
+    name = F.when(F.col("weight") == 0, "poisson").when(F.col("weight") == 100, "history").otherwise("blend")
+    return table.select("fixture_id", name.alias("model"), "p_score", *[price(F.col(f"p_{s}")).alias(f"price_{s}") for s in ("home", "draw", "away")], "home_mean", "away_mean")

@@ -59,3 +59,24 @@ def fixture_of(matches: DataFrame, fixtures: DataFrame) -> DataFrame:
 def pending(found: DataFrame, fixtures: DataFrame, loaded: DataFrame) -> DataFrame:
     """Source matches of known fixtures that are not loaded yet."""
     return found.join(fixtures.select("source_match_id"), "source_match_id", "left_semi").join(loaded.select("source_match_id"), "source_match_id", "left_anti")
+
+
+def with_team_ids(matches: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Matches (home_name, away_name, season, ...) with both team ids; unmapped names stay NULL for the integrity rules."""
+    out = matches
+    for side in ("home", "away"):
+        name = f"{side}_name"
+        asked = out.select(F.col(name).alias("source_team_name"), "season").distinct()
+        found = valid_mapping(asked, mappings).select(F.col("source_team_name").alias(name), "season", F.col("team_id").alias(f"{side}_team_id"))
+        out = out.join(found, [name, "season"], "left")
+    return out
+
+
+def stages(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``competition_stage_id, tournament_id, stage`` after the load: known stages and numbered new ones; blank is no stage."""
+    named = rows.select("tournament_id", F.nullif(F.trim("stage"), F.lit("")).alias("stage"), "season").dropna(subset=["stage"])
+    fresh = named.groupBy("tournament_id", "stage").agg(F.min("season").alias("season")).join(known.select("tournament_id", "stage"), ["tournament_id", "stage"], "left_anti")
+    top = known.agg(F.coalesce(F.max("competition_stage_id"), F.lit(0)).alias("top"))  # one row
+    nth = F.row_number().over(Window.orderBy("season", "tournament_id", "stage"))  # new stages only
+    new = fresh.crossJoin(F.broadcast(top)).select((F.col("top") + nth).cast("long").alias("competition_stage_id"), "tournament_id", "stage")
+    return known.select("competition_stage_id", "tournament_id", "stage").unionByName(new)

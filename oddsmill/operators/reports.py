@@ -74,3 +74,18 @@ def last_results(fixtures: DataFrame, team_rows: DataFrame, n: int = 3) -> DataF
 def by_day(fixtures: DataFrame) -> DataFrame:
     """Fixture ids of each day in order; a day's fixtures are few."""
     return fixtures.groupBy("match_date").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("fixture_id")), ",").alias("fixtures"))
+
+
+def largest_misses(df: DataFrame, n: int = 5) -> DataFrame:
+    """The fixtures whose total and whose margin were missed most."""
+    h, a = F.col("home_score") - F.col("expected_home"), F.col("away_score") - F.col("expected_away")
+    rows = df.select("fixture_id", (h + a).alias("total_error"), (h - a).alias("margin_error"))
+    parts = [rows.orderBy(F.abs(c).desc(), "fixture_id").limit(n).withColumn("by", F.lit(c)) for c in ("total_error", "margin_error")]
+    return parts[0].unionByName(parts[1])
+
+
+def details(ids: DataFrame, fixtures: DataFrame, teams: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The asked fixtures with team names, and the asked ids that do not exist."""
+    asked = ids.select("fixture_id").distinct()
+    found = named(fixtures.join(asked, "fixture_id", "left_semi"), teams, name)
+    return found, asked.join(fixtures.select("fixture_id"), "fixture_id", "left_anti")

@@ -108,3 +108,15 @@ def score_metrics(rows: DataFrame) -> DataFrame:
     """Metrics of home, away and all team scores; rows: is_home, observed, predicted."""
     copies = rows.select("observed", "predicted", F.explode(F.array(F.when(F.col("is_home") == 1, "home").otherwise("away"), F.lit("all"))).alias("sample"))
     return copies.groupBy("sample").agg(*_metrics())
+
+
+def with_multipliers(fixtures: DataFrame, strength: DataFrame) -> DataFrame:
+    """Fixtures with both sides' multipliers, from one grouping of the team rows instead of two joins."""
+    side = lambda h, c: F.max(F.when(F.col("is_home") == h, F.col(c)))
+    wide = strength.groupBy("fixture_id").agg(*[side(h, c).alias(f"{n}_{c}") for n, h in (("home", 1), ("away", 0)) for c in ("attack", "defence")])
+    return fixtures.join(wide, "fixture_id", "left")
+
+
+def best_point(table: DataFrame) -> DataFrame:
+    """The grid point with the least error: by mae, then mse, then absolute bias."""
+    return table.orderBy("mae", F.col("rmse") * F.col("rmse"), F.abs("bias"), "point").limit(1)

@@ -52,3 +52,17 @@ def latest_versions(matrices: DataFrame) -> DataFrame:
     """Rows of the newest ``as_of_date`` of each version."""
     newest = matrices.groupBy("matrix_version").agg(F.max("as_of_date").alias("as_of_date"))
     return matrices.join(newest, ["matrix_version", "as_of_date"])
+
+
+def write_matrix(cells: DataFrame, path: str, version: str, as_of: str, weights: tuple[tuple[float, float], ...]) -> None:
+    """Cells of one version and date, replacing them alone, with a row of metadata that records the weights."""
+    stamped = cells.withColumns({"matrix_version": F.lit(version), "as_of_date": F.lit(as_of).cast("date")})
+
+
+    def written(df: DataFrame, name: str) -> None:
+        df.write.partitionBy("matrix_version", "as_of_date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/{name}")
+
+    written(stamped, "cells")
+    config = F.to_json(F.array(*[F.struct(F.lit(int(a)).alias("max_age"), F.lit(float(w)).alias("weight")) for a, w in weights]))
+    about = cells.agg(F.count("*").alias("cells")).select(F.lit(version).alias("matrix_version"), F.lit(as_of).cast("date").alias("as_of_date"), "cells", config.alias("weight_config"))
+    written(about, "about")

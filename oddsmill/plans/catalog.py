@@ -782,3 +782,133 @@ def _(spark, sf):
 @query("n14_by_day", sql("SELECT match_date, count(*) AS n, string_agg(fixture_id, ',' ORDER BY fixture_id) AS fixtures FROM future GROUP BY match_date", "future"))
 def _(spark, sf):
     return reports.by_day(td.future(spark, sf))
+
+
+# --- the rest of the inventory --------------------------------------------------------------------
+
+
+@query("b8_two_teams", "SELECT o_orderkey AS k, CASE WHEN len(d) = 2 THEN d[1] END AS first, CASE WHEN len(d) = 2 THEN d[2] END AS second FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN ['a'] WHEN o_custkey % 3 = 1 THEN ['a', 'b'] ELSE ['b', CAST(o_orderkey % 5 AS VARCHAR), 'c'] END d FROM orders)")
+def _(spark, sf):
+    links = F.expr("CASE WHEN o_custkey % 3 = 0 THEN array('a', 'a') WHEN o_custkey % 3 = 1 THEN array('a', 'b', 'a') ELSE array('b', cast(o_orderkey % 5 as string), 'c') END")
+    pair = season_log.two_teams(links)
+    return td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), pair[0].alias("first"), pair[1].alias("second"))
+
+
+@query("c4_team_ids", sql("""SELECT fixture_id, h.team_id AS home_team_id, a.team_id AS away_team_id FROM (SELECT fixture_id, season, x.s_name hn, y.s_name an FROM matches JOIN supplier x ON x.s_suppkey = home_team_id JOIN supplier y ON y.s_suppkey = away_team_id) m
+    LEFT JOIN LATERAL (SELECT arg_max(team_id, coalesce(valid_from, -1) * 10000000 + team_id) team_id FROM team_map t WHERE t.source_team_name = m.hn AND (valid_from IS NULL OR valid_from <= m.season) AND (valid_to IS NULL OR valid_to >= m.season)) h ON true
+    LEFT JOIN LATERAL (SELECT arg_max(team_id, coalesce(valid_from, -1) * 10000000 + team_id) team_id FROM team_map t WHERE t.source_team_name = m.an AND (valid_from IS NULL OR valid_from <= m.season) AND (valid_to IS NULL OR valid_to >= m.season)) a ON true""", "matches", "team_map"))
+def _(spark, sf):
+    teams = td.table(spark, sf, "supplier").selectExpr("s_suppkey team_id", "s_name")
+    rows = reports.named(td.view(spark, sf, "matches"), teams, "s_name").select("fixture_id", "season", "home_name", "away_name")
+    return keys.with_team_ids(rows, td.view(spark, sf, "team_map")).select("fixture_id", "home_team_id", "away_team_id")
+
+
+@query("c5_stages", sql("""SELECT 1 AS competition_stage_id, 1 AS tournament_id, 'super_8s' AS stage UNION ALL
+    SELECT 1 + row_number() OVER (ORDER BY season, t, stage), t, stage FROM (SELECT season % 2 t, stage, min(season) season FROM kept GROUP BY ALL HAVING NOT (t = 1 AND stage = 'super_8s'))""".replace("SELECT season % 2 t, stage, min(season) season FROM kept GROUP BY ALL HAVING NOT (t = 1 AND stage = 'super_8s')", "SELECT t, stage, min(season) season FROM (SELECT season % 2 t, stage, season FROM kept) WHERE NOT (t = 1 AND stage = 'super_8s') GROUP BY t, stage"), "kept"))
+def _(spark, sf):
+    known = spark.sql("SELECT 1L competition_stage_id, 1 tournament_id, 'super_8s' stage")
+    rows = season_log.scored(season_log.dated(season_log.staged(td.view(spark, sf, "season_log"))), 2023)
+    return keys.stages(rows.withColumn("tournament_id", (F.col("season") % 2).cast("int")), known)
+
+
+@query("c6_one_tournament", sql("SELECT season, count(DISTINCT home_team_id % (1 + season % 2)) AS n FROM matches GROUP BY season HAVING count(DISTINCT home_team_id % (1 + season % 2)) <> 1", "matches"))
+def _(spark, sf):
+    return keys.one_tournament(td.view(spark, sf, "matches").withColumn("tournament", F.col("home_team_id") % (1 + F.col("season") % 2)))
+
+
+@query("h4_matrix_versions", sql("SELECT 'v1' AS matrix_version, CAST(home_score AS INTEGER) AS home_score, CAST(away_score AS INTEGER) AS away_score, count(*) AS n FROM results GROUP BY ALL", "results"))
+def _(spark, sf):
+    import uuid
+
+    path = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    cells = td.results(spark, sf).groupBy("home_score", "away_score").agg(F.count("*").alias("n"))
+    steps = ((2, 1.0), (4, 0.5), (6, 0.25), (999, 0.10))
+    upsert.write_matrix(cells.withColumn("n", F.col("n") + 1), path, "v1", "1999-01-01", steps)
+    for k in (1, 0):  # the second write of a date replaces the first
+        upsert.write_matrix(cells.withColumn("n", F.col("n") + k), path, "v1", "2000-01-01", steps)
+    newest = upsert.latest_versions(spark.read.parquet(f"{path}/cells"))
+    return newest.select("matrix_version", "home_score", "away_score", "n")
+
+
+@query("h10_blended_matrix", sql(f"SELECT season, {r('sum(p)', 'mass')}, {r('sum(home_score * p)', 'home_mean', 4)}, {r('sum(away_score * p)', 'away_mean', 4)} FROM (SELECT season, home_score, away_score, 0.2 * w / sum(w) OVER (PARTITION BY season) p FROM sh UNION ALL SELECT season, i.k, j.k, 0.8 * exp(-th + i.k * ln(th) - lgamma(i.k + 1)) * exp(-ta + j.k * ln(ta) - lgamma(j.k + 1)) FROM targets, range(0, 101) i(k), range(0, 101) j(k)) GROUP BY season", "sh"))
+def _(spark, sf):
+    targets = written(_targets(spark, sf), "targets")
+    both = distributions.blended(distributions.poisson_cells(targets, ["season"], "th", "ta"), distributions.shifted(td.results(spark, sf), targets, ["season"], "th", "ta"), ["season"], 0.2)
+    means = distributions.implied_means(both, ["season"]).withColumns({c: F.round(c, 4) for c in ("home_mean", "away_mean")})
+    return both.groupBy("season").agg(F.sum("p").alias("mass")).join(means, "season")
+
+
+@query("k9_season_weights")
+def _(spark, sf):
+    rows = _swept(spark, sf).join(_evaluated(spark, sf).select("fixture_id", F.year("as_of").alias("season")), "fixture_id")
+    return backtest.best(backtest.summary(rows, ["season", "weight"]), ["season"])
+
+
+@query("k11_model_comparison")
+def _(spark, sf):
+    asked = _evaluated(spark, sf)
+    own = ["fixture_id", "ah", "aa", "total_line", "margin_line"]
+    poisson = distributions.poisson_cells(asked, ["fixture_id"], "expected_home", "expected_away", 80, "fold")
+    both = backtest.events(poisson, asked.select(*own), ["fixture_id"], "poisson").join(_history_events(spark, sf, asked).drop("as_of", *own[1:]), "fixture_id")
+    return backtest.model_comparison(both)
+
+
+@query("k12_final_weights")
+def _(spark, sf):
+    return backtest.summary(_swept(spark, sf).filter("weight IN (0, 70, 80, 100)"), ["weight"])
+
+
+@query("l4_recent_ratio", sql(f"SELECT fixture_id, team_id, {', '.join(r(f'p_{m}', f'predicted_{m}', 4) for m in residuals.METHODS)} FROM pred", "pred"))
+def _(spark, sf):
+    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))))
+    return rows.select("fixture_id", "team_id", *[F.round(f"predicted_{m}", 4).alias(f"predicted_{m}") for m in residuals.METHODS])
+
+
+@query("l6_gain_on_raw", sql("SELECT method, " + r("(SELECT mae FROM b WHERE method = 'raw') - mae", "gain") + " FROM b", "pred").replace("\nSELECT method, ", ",\nb AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, avg(abs(p_{m} - observed)) mae FROM pred WHERE p_{m} IS NOT NULL" for m in residuals.METHODS) + ")\nSELECT method, "))
+def _(spark, sf):
+    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))))
+    return residuals.leaderboard(rows).select("method", "gain")
+
+
+_CAPS = residuals.grid([0.3, 0.4, 0.5, 0.6, 0.7], [0.15, 0.2, 0.25, 0.3, 0.35], [1.0])
+_CAP_POINTS = ", ".join(f"({k}, {c!r}::DOUBLE, {e!r}::DOUBLE, 1.0::DOUBLE)" for k, c, e, _ in _CAPS)
+
+
+@query("l11_cap_grid", sql(f"""SELECT point, count(*) AS n, {r('avg(abs(pr - observed))', 'mae')}, {r('sqrt(avg((pr - observed) ** 2))', 'rmse')} FROM (
+    SELECT *, expected * ({_CUR.replace('x', '(expected / 25)').replace('ma(expected / 25)_edit', 'max_edit')}) / (expected / 25) pr FROM res, (VALUES {_CAP_POINTS}) g(point, cap_start, max_edit, rate) WHERE expected > 0) GROUP BY point""", "res"))
+def _(spark, sf):
+    rows = residuals.team_residuals(form_expectations(spark, sf)).filter("expected > 0").withColumns({"attack": F.col("expected") / 25, "opponent_defence": F.lit(1.0)})
+    return residuals.curve_grid(rows, _CAPS).select("point", "n", "mae", "rmse")
+
+
+@query("m1_multipliers", sql(f"SELECT fixture_id, {r('max(CASE WHEN is_home = 1 THEN ra END)', 'home_attack')}, {r('max(CASE WHEN is_home = 0 THEN rd END)', 'away_defence')} FROM raw GROUP BY fixture_id", "raw"))
+def _(spark, sf):
+    results = td.results(spark, sf)
+    rows = strength.raw_multipliers(strength.league_average(form.recent_form(form.team_matches(results), (5,)))).withColumnsRenamed({"raw_attack": "attack", "raw_defence": "defence"})
+    return residuals.with_multipliers(results.select("fixture_id"), rows).select("fixture_id", "home_attack", "away_defence")
+
+
+@query("m5_best_curve")
+def _(spark, sf):
+    rows = residuals.team_residuals(form_expectations(spark, sf)).filter("expected > 0").withColumns({"attack": F.col("expected") / 25, "opponent_defence": F.lit(1.0)})
+    return residuals.best_point(residuals.curve_grid(rows, _GRID)).select("point", "cap_start", "max_edit", "rate", "mae")
+
+
+@query("n7_largest_misses", sql(" UNION ALL ".join(f"SELECT * FROM (SELECT fixture_id, {r('t', 'total_error')}, {r('m', 'margin_error')}, '{n}' AS \"by\" FROM (SELECT fixture_id, home_score - expected_home + away_score - expected_away t, home_score - expected_home - away_score + expected_away m FROM fe) ORDER BY round(abs({c}), 9) DESC, fixture_id LIMIT 5)" for n, c in (("total_error", "t"), ("margin_error", "m"))), "fe"))
+def _(spark, sf):
+    return reports.largest_misses(form_expectations(spark, sf))
+
+
+@query("n9_prediction_report", sql("SELECT fixture_id, match_date, h.s_name AS home_name, a.s_name AS away_name, round(expected_home, 2) + 0.0 AS expected_home, round(expected_away, 2) + 0.0 AS expected_away FROM fe JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id WHERE season = 2000", "fe"))
+def _(spark, sf):
+    teams = td.table(spark, sf, "supplier").selectExpr("s_suppkey team_id", "s_name")
+    rows = reports.named(form_expectations(spark, sf).filter("season = 2000"), teams, "s_name")
+    return rows.select("fixture_id", "match_date", "home_name", "away_name", F.round("expected_home", 2).alias("expected_home"), F.round("expected_away", 2).alias("expected_away"))
+
+
+@query("n11_details", sql("SELECT fixture_id, h.s_name AS home_name, a.s_name AS away_name FROM results JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id WHERE source_match_id % 10 = 0 UNION ALL SELECT fixture_id, NULL, NULL FROM future WHERE source_match_id % 10 = 0", "results", "future"))
+def _(spark, sf):
+    teams = td.table(spark, sf, "supplier").selectExpr("s_suppkey team_id", "s_name")
+    ids = td.view(spark, sf, "matches").filter("source_match_id % 10 = 0")
+    found, lost = reports.details(ids, td.results(spark, sf), teams, "s_name")
+    return found.select("fixture_id", "home_name", "away_name").unionByName(lost, allowMissingColumns=True)
