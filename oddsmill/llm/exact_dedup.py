@@ -25,13 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise, replicated, texts, with_salt
+from oddsmill.llm.common import materialise, maybe_in, replicated, texts, with_salt
 
 CHUNK = 1 << 16
 HUGE = 1 << 20
 MODULI = (2147483647, 2147483629)
 BASE = 1_000_003
 SALTS = 16
+PER_SALT = 500
 
 
 @lru_cache(8)
@@ -100,11 +101,13 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: int =
 
 def _unequal(docs: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
     """``doc_id`` of the pairs (doc_id, keep_id) whose normalised texts differ in any chunk."""
-    data = docs.select("doc_id", normalised().cast("binary").alias("data"))
-    wanted = pairs.select("doc_id", "keep_id").unionByName(pairs.select(F.col("keep_id").alias("doc_id"), "keep_id").distinct())
-    rows = _chunks(data.join(wanted, "doc_id"), chunk)
-    members = with_salt(rows.filter("doc_id <> keep_id"), "doc_id", SALTS)
-    firsts = replicated(rows.filter("doc_id = keep_id").select("keep_id", "chunk_no", F.col("chunk").alias("first_chunk")), SALTS)
+    first = pairs.select(F.col("keep_id").alias("doc_id"), "keep_id", "salts").distinct()
+    wanted = materialise(pairs.select("doc_id", "keep_id", "salts").unionByName(first), "compared")
+    data = maybe_in(docs, wanted).join(wanted, "doc_id").select("doc_id", "keep_id", "salts", normalised().cast("binary").alias("data"))
+    rows = _chunks(data, chunk)
+    # The first text of a large group is copied once for every PER_SALT members.
+    members = rows.filter("doc_id <> keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    firsts = rows.filter("doc_id = keep_id").select("keep_id", "chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("chunk").alias("first_chunk"))
     both = members.join(firsts, ["keep_id", "chunk_no", "salt"], "left")
     return both.filter(~F.col("chunk").eqNullSafe(F.col("first_chunk"))).select("doc_id").distinct()
 
@@ -117,8 +120,9 @@ def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: i
     left = prints.select("doc_id", "copies", *key)
     found = None
     while True:
-        groups = left.groupBy(key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("members")).filter("members > 1").drop("members")
-        pairs = materialise(with_salt(left, "doc_id", SALTS).join(replicated(groups, SALTS), [*key, "salt"]).select("doc_id", "keep_id", "copies", *key), "pairs")
+        groups = left.groupBy(key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("members")).filter("members > 1")
+        groups = groups.select(*key, "keep_id", (1 + F.floor(F.col("members") / PER_SALT)).alias("salts"))
+        pairs = materialise(with_salt(left, "doc_id", SALTS).join(replicated(groups, SALTS), [*key, "salt"]).select("doc_id", "keep_id", "copies", "salts", *key), "pairs")
         differ = materialise(_unequal(docs, pairs.filter("doc_id <> keep_id"), chunk), "unequal")
         same = pairs.join(differ, "doc_id", "left_anti").select("doc_id", "keep_id", "copies")
         found = same if found is None else found.unionByName(same)
