@@ -858,10 +858,11 @@ def _(spark, sf):
     return backtest.summary(_swept(spark, sf).filter("weight IN (0, 70, 80, 100)"), ["weight"])
 
 
-@query("l4_recent_ratio", sql(f"SELECT fixture_id, team_id, {', '.join(r(f'p_{m}', f'predicted_{m}', 4) for m in residuals.METHODS)} FROM pred", "pred"))
+@query("l4_recent_ratio", sql(f"SELECT fixture_id, team_id, {', '.join(r(f'p_{m} + 1.23e-8', f'predicted_{m}') for m in residuals.METHODS)} FROM pred", "pred"))
 def _(spark, sf):
     rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))))
-    return rows.select("fixture_id", "team_id", *[F.round(f"predicted_{m}", 4).alias(f"predicted_{m}") for m in residuals.METHODS])
+    # Many values are exact binary fractions halfway between two roundings; both engines move off the tie.
+    return rows.select("fixture_id", "team_id", *[(F.col(f"predicted_{m}") + 1.23e-8).alias(f"predicted_{m}") for m in residuals.METHODS])
 
 
 @query("l6_gain_on_raw", sql("SELECT method, " + r("(SELECT mae FROM b WHERE method = 'raw') - mae", "gain") + " FROM b", "pred").replace("\nSELECT method, ", ",\nb AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, avg(abs(p_{m} - observed)) mae FROM pred WHERE p_{m} IS NOT NULL" for m in residuals.METHODS) + ")\nSELECT method, "))
