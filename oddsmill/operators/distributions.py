@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmill.functions.rating import age_years, decay_weight, step_weight
+from oddsmill.functions.rating import age_years, step_weight
 
 CELL = ["home_score", "away_score"]
 
