@@ -103,7 +103,8 @@ def _unequal(docs: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
     """``doc_id`` of the pairs (doc_id, keep_id) whose normalised texts differ in any chunk."""
     first = pairs.select(F.col("keep_id").alias("doc_id"), "keep_id", "salts").distinct()
     wanted = materialise(pairs.select("doc_id", "keep_id", "salts").unionByName(first), "compared")
-    data = maybe_in(docs, wanted).join(wanted, "doc_id").select("doc_id", "keep_id", "salts", normalised().cast("binary").alias("data"))
+    # One plan at every size: a broadcast of the ids would not hold beyond small tables.
+    data = maybe_in(docs, wanted).join(wanted.hint("merge"), "doc_id").select("doc_id", "keep_id", "salts", normalised().cast("binary").alias("data"))
     rows = _chunks(data, chunk)
     # The first text of a large group is copied once for every PER_SALT members.
     members = rows.filter("doc_id <> keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
