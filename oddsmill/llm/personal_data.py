@@ -2,11 +2,12 @@
 
 Base spans are found by pattern: e-mail and IP addresses, payment cards (Luhn) and
 phone numbers.  The corpus then tells which ordinary terms give an entity away.  A
-term that stands within ``NEAR`` characters of an entity in at least ``SUPPORT``
-different texts discloses it by ``p = texts with both / texts with the term``; its
-information is ``log2(p / (texts with the entity / texts))`` bits.  With at least
-``BITS`` bits, a term of ``p >= REMOVE`` is removed and one of ``p >= GENERALISE`` is
-generalised to its length class, wherever it stands near that entity.
+term that stands in a text with an entity, anywhere outside its base spans, in at
+least ``SUPPORT`` different texts discloses it by ``p = texts with both / texts with
+the term``; its information is ``log2(p / (texts with the entity / texts))`` bits.
+With at least ``BITS`` bits, a term of ``p >= REMOVE`` is removed and one of
+``p >= GENERALISE`` is generalised to its length class, wherever it stands in any
+text.  A term that discloses several entities goes by its highest ``p``.
 
 Everything is built-in functions: no Python runs on the executors.  Counts cover
 all texts.
@@ -22,15 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import joined, materialise, maybe_in, texts
+from oddsmill.llm.common import joined, materialise, maybe_in, replicated, texts, with_salt
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 60
 SUPPORT = 3
 GENERALISE, REMOVE = 0.5, 0.9
 BITS = 3.0
 TERM = r"\p{L}{3,}"
+#: Matches whose places are added up together, and copies of each disclosing term in the join with its texts.
+BLOCK, SALTS = 64, 16
 
 # Possessive forms of the contract's patterns.  A match may begin where the last one ended or where its
 # first character class begins: elsewhere within such a run an attempt fails as it does at the run's start.
@@ -78,8 +80,18 @@ def places(text: Column, pattern: str) -> Column:
         e = s + F.length(x["v"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
 
+    def added(pairs: Column) -> Column:
+        """Places within blocks, then those of the blocks: an aggregate copies its array at each step."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)))
+        within = F.transform(blocks, lambda b: F.aggregate(b, empty, step))
+        moved = lambda b, at: F.transform(b["out"], lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["v"].alias("v")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,v:string>>>").alias("out"))
+        return F.aggregate(within, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved(b, acc["at"]))).alias("out")), lambda acc: F.flatten(acc["out"]))
+
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("v")))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    # As the value of a lambda the pairs are found once, not once a block.
+    return F.element_at(F.transform(F.array(pairs), lambda x: F.when(F.size(x) > 0, added(x)).otherwise(none)), 1)
 
 
 _SPANS = "array<struct<s:int,e:int,kind:int,v:string>>"
@@ -100,53 +112,64 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(both, lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(x["kind"] - y["kind"]))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans, text_id, near`` of every row: base spans, a hash of the text, and terms near the spans.
+def free_terms(text: Column, spans: Column) -> Column:
+    """Structs (s, e, t) of the terms of a text that touch no base span: place and lower-case form."""
+    free = F.filter(places(text, TERM), lambda p: ~F.exists(spans, lambda b: (p["s"] < b["e"]) & (p["e"] > b["s"])))
+    return F.transform(free, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.lower(p["v"]).alias("t")))
 
-    ``near``: structs (kind, v, s, e, t) of the entity and the place and lower-case form of the term.
-    """
-    rows = docs.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
 
-    def around(x: Column) -> Column:
-        """Terms before and after one span that are whole words and touch no base span."""
-        low = F.greatest(x["s"] - NEAR, F.lit(0))
-        before, after = F.substring("text", low + 1, x["s"] - low), F.substring("text", x["e"] + 1, F.lit(NEAR))
-        left = F.transform(F.filter(places(before, TERM), lambda p: (p["s"] > 0) | (low == 0)), lambda p: F.struct((p["s"] + low).alias("s"), (p["e"] + low).alias("e"), F.lower(p["v"]).alias("t")))
-        whole = lambda p: (p["e"] < F.length(after)) | (F.length(after) < NEAR)
-        right = F.transform(F.filter(places(after, TERM), whole), lambda p: F.struct((p["s"] + x["e"]).alias("s"), (p["e"] + x["e"]).alias("e"), F.lower(p["v"]).alias("t")))
-        free = F.filter(F.concat(left, right), lambda p: ~F.exists("spans", lambda b: (p["s"] < b["e"]) & (p["e"] > b["s"])))
-        return F.transform(free, lambda p: F.struct(x["kind"].alias("kind"), x["v"].alias("v"), p["s"].alias("s"), p["e"].alias("e"), p["t"].alias("t")))
+def distinct_terms(text: Column) -> Column:
+    """Lower-case forms of all terms of a text; only these two letters have another form, or other bounds, in a text lowered as a whole."""
+    of = lambda t: F.regexp_extract_all(t, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.when(text.rlike("[\u0130\u03a3]"), F.transform(of(text), F.lower)).otherwise(of(F.lower(text))))
 
-    near = F.when(F.size("spans") > 0, F.flatten(F.transform("spans", around)))
-    return rows.select("doc_id", "spans", F.when(F.size("spans") > 0, F.xxhash64("text")).alias("text_id"), near.alias("near"))
+
+def found(docs: DataFrame) -> DataFrame:
+    """``doc_id, spans, text_id, terms`` of every row: base spans, and if there are any a hash of the text and its distinct free terms."""
+    rows = docs.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
+    terms = F.array_distinct(F.transform(free_terms(F.col("text"), F.col("spans")), lambda p: p["t"]))
+    some = F.size("spans") > 0
+    return rows.select("doc_id", "spans", F.when(some, F.xxhash64("text")).alias("text_id"), F.when(some, terms).alias("terms"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     """``kind, v, t, p, bits``: terms t that disclose the entity (kind, v)."""
-    entities = base.select("text_id", F.explode("spans").alias("x")).select("text_id", "x.kind", "x.v").distinct().groupBy("kind", "v").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= SUPPORT)
-    pairs = base.select("text_id", F.explode("near").alias("x")).select("text_id", "x.kind", "x.v", "x.t").distinct()
-    pairs = materialise(pairs.groupBy("kind", "v", "t").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT).join(entities, ["kind", "v"]), "term-pairs")
+    total = docs.select(F.xxhash64("text").alias("text_id")).distinct().agg(F.count("*").alias("texts"))
+    carried = base.select("text_id", F.explode("spans").alias("x")).select("text_id", "x.kind", "x.v").distinct()
+    entities = carried.groupBy("kind", "v").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= SUPPORT)
+    # As p <= 1, an entity in more texts than this has no term of BITS bits.
+    entities = entities.join(F.broadcast(total)).filter(F.col("with_entity") * 2**BITS <= F.col("texts"))  # one row
+    held = base.select("text_id", "terms").dropDuplicates(["text_id"])
+    pairs = carried.join(entities, ["kind", "v"]).join(held, "text_id").select("kind", "v", "with_entity", "texts", F.explode("terms").alias("t"))
+    pairs = materialise(pairs.groupBy("kind", "v", "with_entity", "texts", "t").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT), "term-pairs")
     terms = materialise(pairs.select("t").distinct(), "terms")
-    words = docs.select(F.xxhash64("text").alias("text_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t"))
+    words = docs.select(F.xxhash64("text").alias("text_id"), F.explode(distinct_terms(F.col("text"))).alias("t"))
     # The exact join comes after the counting: one row a term instead of one a text and term.
     known = maybe_in(words, terms, key="t").distinct().groupBy("t").agg(F.count("*").alias("with_term"))
-    total = docs.select(F.xxhash64("text").alias("text_id")).distinct().agg(F.count("*").alias("texts"))
-    rows = pairs.join(known, "t").join(F.broadcast(total))  # one row
+    rows = pairs.join(known, "t")
     p = F.col("both") / F.col("with_term")
     bits = F.log2(p * F.col("texts") / F.col("with_entity"))
     return rows.select("kind", "v", "t", p.alias("p"), bits.alias("bits")).filter((F.col("p") >= GENERALISE) & (F.col("bits") >= BITS))
 
 
+def marked(docs: DataFrame, base: DataFrame, told: DataFrame) -> DataFrame:
+    """``doc_id, terms``: the places (s, e, p) of the terms of ``told`` in every text that has one, off its base spans."""
+    marks = materialise(told.groupBy("t").agg(F.max("p").alias("p")), "marks")
+    words = maybe_in(docs.select("doc_id", F.explode(distinct_terms(F.col("text"))).alias("t")), marks.select("t"), key="t")
+    # Salted: a term may be told in up to a quarter of the texts, and copies of a text count again here.
+    met = with_salt(words, "doc_id", SALTS).join(replicated(marks, SALTS), ["t", "salt"])
+    lists = materialise(met.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("t", "p"))).alias("p")), "marked")
+    rows = maybe_in(docs, lists).join(lists, "doc_id").dropDuplicates(["doc_id"]).join(base.select("doc_id", "spans").dropDuplicates(["doc_id"]), "doc_id")
+    told_here = F.filter(free_terms(F.col("text"), F.col("spans")), lambda x: F.map_contains_key("p", x["t"]))
+    return rows.select("doc_id", F.transform(told_here, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at("p", x["t"]).alias("p"))).alias("terms"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, base, terms`` for every row of ``docs``: base spans, and term spans with their disclosure ``p``."""
     docs = texts(docs)
     base = materialise(found(docs), "base-spans")
-    some = base.filter("text_id IS NOT NULL")
-    told = materialise(disclosing(docs, some), "disclosing")
-    near = some.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    terms = near.join(told, ["kind", "v", "t"]).groupBy("doc_id", "s", "e").agg(F.max("p").alias("p"))
-    lists = terms.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "p"))).alias("terms"))
-    return base.select("doc_id", F.col("spans").alias("base")).join(lists, "doc_id", "left")
+    told = materialise(disclosing(docs, base.filter("text_id IS NOT NULL")), "disclosing")
+    return base.select("doc_id", F.col("spans").alias("base")).join(marked(docs, base, told), "doc_id", "left")
 
 
 def listed(docs: DataFrame) -> DataFrame:

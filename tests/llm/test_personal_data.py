@@ -58,6 +58,41 @@ def test_terms_that_disclose(spark):
     assert clean[30] == rows[30][1]
 
 
+def test_terms_are_marked_in_every_text(spark):
+    """Counts and marks over whole texts, against counting in Python."""
+    fill = ["river", "stone", "cloud", "meadow", "harbour", "winter"]
+    draw = random.Random(3)
+    far = " ".join(draw.choices(fill, k=40))
+    rows = [(k, " ".join(draw.choices(fill, k=20)) + f" {k}") for k in range(90)]
+    for k in range(6):
+        # The term is never near the entity: the old window of 60 characters did not reach it.
+        rows[k] = (k, f"Zephyrine {far} ann@corp.example {far} zephyrine corp {k}")
+    rows[20] = (20, f"Here ZEPHYRINE stands alone. {' '.join(draw.choices(fill, k=200))} zephyrine")
+    rows += [(91, rows[20][1]), (20, rows[20][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    entity, parts = "ann@corp.example", {t: set(re.findall(r"[^\W\d_]{3,}", t.replace("ann@corp.example", "").lower())) for _, t in rows}
+    told = {}
+    for term in set().union(*parts.values()):
+        both, those = sum(entity in t and term in p for t, p in parts.items()), sum(term in re.findall(r"[^\W\d_]{3,}", t.lower()) for t in parts)
+        carriers = sum(entity in t for t in parts)
+        if both >= pd_.SUPPORT and both / those >= pd_.GENERALISE and both / those * len(parts) / carriers >= 2**pd_.BITS:
+            told[term] = both / those
+    assert told == {"zephyrine": 6 / 7, "corp": 1.0}
+
+    got = pd_.listed(docs).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        t = text[r.doc_id]
+        at = t.find(entity)
+        want = sorted(f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t) if m.group().lower() in told and not (at >= 0 and m.start() < at + len(entity) and m.end() > at))
+        assert sorted(x for x in r.spans.split(",") if x.startswith("term")) == want
+        assert bool(want) == (r.doc_id < 6 or r.doc_id in (20, 91))
+    clean = {r.doc_id: r.text for r in pd_.sanitised(docs).collect()}
+    assert all("zephyrine" not in t.lower() for t in clean.values()) and "[long word]" in clean[20]
+
+
 def test_empty_table_and_native_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = pd_.listed(docs)
