@@ -598,8 +598,17 @@ CTES |= {
 _TD_BASE |= {"ev": ["fe"], "wf": ["ev"], "wp": ["wf"], "evh": ["wp"]}
 
 
-def _evaluated(spark, sf):
-    fixtures = form_expectations(spark, sf).filter("match_date >= DATE'2001-01-01'")
+#: The view ev begins here, later than the split date: k4 and k6 evaluate only a part.
+_SQL_START = "2001-01-01"
+
+
+def _evaluated(spark, sf, start: str | None = None):
+    """All fixtures from the split date on; k4 and k6 give the date of their SQL."""
+    fixtures = form_expectations(spark, sf)
+    if start is None:
+        fixtures = fixtures.join(F.broadcast(backtest.split_date(fixtures)), F.col("match_date") >= F.col("start"))  # one row
+    else:
+        fixtures = fixtures.filter(F.col("match_date") >= F.lit(start).cast("date"))
     lines = {"ah": F.col("home_score"), "aa": F.col("away_score"), "total_line": F.floor(F.col("expected_home") + F.col("expected_away")) + 0.5, "margin_line": F.floor(F.col("expected_home") - F.col("expected_away")) + 0.5, "as_of": F.col("match_date")}
     asked = fixtures.withColumns(lines).select("fixture_id", "season", "as_of", "ah", "aa", "total_line", "margin_line", "expected_home", "expected_away")
     return written(asked, "evaluated")
@@ -612,7 +621,7 @@ def _history_events(spark, sf, asked):
 
 @query("k4_walk_forward", sql(f"SELECT fixture_id, {r('h', 'p_home')}, {r('d', 'p_draw')}, {r('o', 'p_over')}, {r('c', 'p_cover')} FROM evh", "evh"))
 def _(spark, sf):
-    rows = _history_events(spark, sf, _evaluated(spark, sf))
+    rows = _history_events(spark, sf, _evaluated(spark, sf, _SQL_START))
     return rows.select("fixture_id", *[F.col(f"hist_{c}").alias(c) for c in ("p_home", "p_draw", "p_over", "p_cover")])
 
 
@@ -624,7 +633,7 @@ _LOSS = f"""SELECT *, -ln({_CLIP.format('CASE WHEN ah > aa THEN h WHEN ah = aa T
 
 @query("k6_losses", sql(f"SELECT count(*) AS fixtures, {r('avg(rl)', 'result_loss')}, {r('avg(br)', 'result_brier')}, {r('avg(hl)', 'handicap_loss')}, {r('avg(ll)', 'total_loss')} FROM ({_LOSS})", "evh"))
 def _(spark, sf):
-    rows = _history_events(spark, sf, _evaluated(spark, sf))
+    rows = _history_events(spark, sf, _evaluated(spark, sf, _SQL_START))
     named = rows.withColumnsRenamed({f"hist_{c}": c for c in backtest.EVENTS})
     return backtest.losses(named).agg(F.count("*").alias("fixtures"), *[F.avg(c).alias(c) for c in ("result_loss", "result_brier", "handicap_loss", "total_loss")])
 
