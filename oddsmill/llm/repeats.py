@@ -14,8 +14,11 @@ else in the corpus, the same document included; matches never cross documents.
    longest match with the neighbour.  Matching statistics are streamed from those
    samples alone: inside a run a suffix matches one byte less than its left
    neighbour in the text.  Windows that match ``length`` bytes or more are marked.
-3. Groups with more than ``hot`` segments are never held in one task.  Their windows
-   are counted one by one by a 128-bit digest, summed on the map side.
+3. A group of more than ``hot`` segments is never held in one task.  Its segments are
+   named by a 128-bit digest and counted, on the map side first.  A segment that occurs
+   again goes whole; one of each kind stays in the group.  If more than ``hot`` kinds
+   are left, each is cut anew at longer anchors, so that windows which share less
+   part, until every part fits into the index.  The last anchor is the whole window.
 4. Marked ranges meet their document again and are cut out.
 
 Edge cases: a null text is empty; texts shorter than ``length`` bytes keep all of
@@ -99,6 +102,14 @@ class Anchors:
             return (np.zeros(0, np.int64),) * 5
         return owner[first], at[first] - bounds[owner[first]], np.add.reduceat(size, first), hashes[first].view(np.int64), np.diff(np.append(first, len(at)))
 
+    def rows(self, parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        """``h, doc_id, span, anchors`` of the segments of parts (doc_id, start in the document, bytes)."""
+        owner, start, windows, h, count = self.segments([data for _, _, data in parts])
+        ids, offsets = (np.array([p[k] for p in parts], np.int64) for k in (0, 1))
+        span = (start + offsets[owner]) * 65536 + windows if len(owner) else start
+        doc = ids[owner] if len(owner) else start
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, doc, span, count)], ["h", "doc_id", "span", "anchors"])
+
 
 def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``h, doc_id, span, anchors`` of every segment; ``span`` is start * 65536 + windows."""
@@ -106,28 +117,20 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
 
-        def rows(ids: list[int], offsets: list[int], parts: list[bytes]) -> pa.RecordBatch:
-            owner, start, windows, h, count = anchors.segments(parts)
-            span = (start + np.array(offsets, np.int64)[owner]) * 65536 + windows if len(owner) else start
-            doc = np.array(ids, np.int64)[owner] if len(owner) else start
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, doc, span, count)], ["h", "doc_id", "span", "anchors"])
-
         step = 32768  # windows of a part, so that their number fits into span
         for batch in batches:
-            ids, offsets, parts, size = [], [], [], 0
+            parts, size = [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py().encode()
                 for a in range(0, max(0, len(data) - length + 1), step):
                     part = data[a : a + step + length - 1]
                     if size + len(part) > SLICE:
-                        yield rows(ids, offsets, parts)
-                        ids, offsets, parts, size = [], [], [], 0
-                    ids.append(i)
-                    offsets.append(a)
-                    parts.append(part)
+                        yield anchors.rows(parts)
+                        parts, size = [], 0
+                    parts.append((i, a, part))
                     size += len(part)
             if parts:
-                yield rows(ids, offsets, parts)
+                yield anchors.rows(parts)
 
     return docs.mapInArrow(found, "h long, doc_id long, span long, anchors long")
 
@@ -314,34 +317,91 @@ def _marked(docs: DataFrame, spans: DataFrame, length: int, block: int, parts: i
     return segments.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(search, "doc_id long, s long, e long")
 
 
-def _counted(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """Ranges of repeated windows in hot groups, window by window."""
+def _grams(length: int, gram: int) -> Iterator[int]:
+    """Ever longer anchors after ``gram``; the last is a whole window."""
+    while gram < length:
+        rest = (length - gram) // 3
+        gram = length - rest if rest >= 4 else length
+        yield gram
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """``h, d1, d2, doc_id, span``: the segments with a digest of their text."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for i, text, spans, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 data = text.as_py().encode()
-                starts = [s + k for span in spans.values.to_pylist() for s, n in _pieces(span) for k in range(n)]
-                names = [hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in starts]
+                at = spans.values.to_pylist()
+                names = [hashlib.blake2b(data[s // 65536 : s // 65536 + s % 65536 + length - 1], digest_size=16).digest() for s in at]
                 two = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([i] * len(starts), pa.int64()), pa.array(starts, pa.int64())], ["k1", "k2", "doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([i] * len(at), pa.int64()), spans.values], ["h", "d1", "d2", "doc_id", "span"])
+
+    return _with_text(docs, spans).mapInArrow(named, "h long, d1 long, d2 long, doc_id long, span long")
+
+
+def _anchored_again(docs: DataFrame, spans: DataFrame, length: int, gram: int) -> DataFrame:
+    """Segments of longer anchors within those of ``spans``."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(length, gram)
+        for batch in batches:
+            parts, size = [], 0
+            for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = text.as_py().encode()
+                for start, windows in (divmod(s, 65536) for s in spans.values.to_pylist()):
+                    part = data[start : start + windows + length - 1]
+                    if size + len(part) > SLICE:
+                        yield anchors.rows(parts)
+                        parts, size = [], 0
+                    parts.append((i, start, part))
+                    size += len(part)
+            if parts:
+                yield anchors.rows(parts)
+
+    return _with_text(docs, spans).mapInArrow(found, "h long, doc_id long, span long, anchors long")
 
-    rows = materialise(_with_text(docs, spans).mapInArrow(windows, "k1 long, k2 long, doc_id long, s long"), "hot-windows")
-    twice = materialise(rows.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "hot-repeats")
-    return rows.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "s", (F.col("s") + length).alias("e"))
+
+def _grouped(rows: DataFrame, hot: int) -> DataFrame:
+    """``h, doc_id, span, hot``: the segments (h, doc_id, span, anchors) whose anchor hash occurs again."""
+    shared = materialise(rows.groupBy("h").agg(F.sum("anchors").alias("c")).filter("c > 1"), "shared-anchors")
+    return materialise(rows.select("h", "doc_id", "span").join(shared, "h").select("h", "doc_id", "span", (F.col("c") > hot).alias("hot")), "shared-spans")
+
+
+def _split(docs: DataFrame, spans: DataFrame, length: int, gram: int, hot: int, block: int, parts: int) -> DataFrame:
+    """Ranges found in the hot groups of ``spans`` (h, doc_id, span)."""
+    grams, ranges, key = _grams(length, gram), None, ["h", "d1", "d2"]
+    while True:
+        segments = materialise(_named(docs, spans, length), "hot-segments")
+        kinds = segments.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("one"))
+        kinds = materialise(kinds.select(*key, "n", "one.doc_id", "one.span"), "hot-kinds")
+        again = segments.join(kinds.filter("n > 1").select(*key), key, "left_semi")
+        start = F.floor(F.col("span") / 65536)
+        found = again.select("doc_id", start.alias("s"), (start + F.col("span") % 65536 + length - 1).alias("e"))
+        gram = next(grams, None)
+        many = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
+        placed = materialise(kinds.join(many, "h").select("h", "doc_id", "span", (F.col("kinds") > (hot if gram else 1 << 62)).alias("hot")), "hot-groups")
+        found = found.unionByName(_marked(docs, placed.filter("not hot"), length, block, parts))
+        left = placed.filter("hot")
+        if not left.isEmpty():
+            placed = _grouped(materialise(_anchored_again(docs, left, length, gram), "anchors"), hot)
+            found = found.unionByName(_marked(docs, placed.filter("not hot"), length, block, parts))
+            left = placed.filter("hot")
+        found = materialise(found, "hot-ranges")
+        ranges = found if ranges is None else ranges.unionByName(found)
+        if left.isEmpty():
+            return ranges
+        spans = left.select("h", "doc_id", "span")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``doc_id, s, e``: byte ranges of ``docs`` (doc_id, text) that are repeats; ranges may overlap."""
     parts = tasks(docs.sparkSession)
-    rows = materialise(anchored(docs, length, gram), "anchors")
-    shared = materialise(rows.groupBy("h").agg(F.sum("anchors").alias("c")).filter("c > 1"), "shared-anchors")
-    known = rows.select("h", "doc_id", "span").join(shared, "h")
-    spans = materialise(known.select("h", "doc_id", "span", (F.col("c") > hot).alias("hot")), "shared-spans")
+    spans = _grouped(materialise(anchored(docs, length, gram), "anchors"), hot)
     ranges = _marked(docs, spans.filter("not hot"), length, block, parts)
-    crowded = spans.filter("hot")
+    crowded = spans.filter("hot").select("h", "doc_id", "span")
     if not crowded.isEmpty():
-        ranges = ranges.unionByName(_counted(docs, crowded, length))
+        ranges = ranges.unionByName(_split(docs, crowded, length, min(gram, length), hot, block, parts))
     return ranges
 
 

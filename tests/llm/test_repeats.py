@@ -74,3 +74,12 @@ def test_index_matches(seed):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_a_hot_passage_is_split_by_longer_anchors(spark):
+    draw = random.Random(31)
+    text = lambda k: "".join(draw.choices("abcdefgh ", k=k))
+    passage, copy = text(90), text(300)
+    rows = [(k, text(50) + passage + text(50)) for k in range(40)] + [(100 + k, copy) for k in range(30)]
+    rows += [(200 + k, copy[: 20 * k + 5] + "#" + copy[20 * k + 6 :]) for k in range(14)] + [(300 + k, "ab" * (40 + k)) for k in range(9)]
+    assert found(spark, rows, length=30, gram=6, hot=4, block=500) == brute(rows, 30)
