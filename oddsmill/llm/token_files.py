@@ -26,19 +26,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from oddsmill.llm.common import shared_dir, tasks, texts
 
 SCHEMA = "file_no int, doc_id long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-UNITS_KEPT = 600_000
-SLICE = 200
+FILE_BYTES = 64 << 20
+UNITS_KEPT = 500_000  # of each of two generations
+JOINED = 2000  # new units that are encoded together
+SLICE = 8 << 20
 
 
 class UnitEncoder:
@@ -51,44 +52,63 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept = kept
-        self.inner: dict[str, bytes] = {}  # units that follow a space
-        self.first: dict[str, bytes] = {"": b"\0"}
-
-    def _ids(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [t.split(" ") for t in batch]
-        self._learn({u for units in cut for u in units[1:] if u not in self.inner}, {units[0] for units in cut if units[0] not in self.first})
-        out: list[bytes | None] = []
-        whole = []
-        for k, units in enumerate(cut):
-            start = self.first[units[0]]
-            rest = list(map(self.inner.__getitem__, units[1:]))
-            if b"" in rest or start == b"":
-                whole.append(k)
-                out.append(None)
-            else:
-                out.append((b"" if units[0] == "" else start) + b"".join(rest))
-        for k, ids in zip(whole, self._ids([batch[k] for k in whole]), strict=True):
-            out[k] = ids
-        if len(self.inner) > self.kept:
-            self.inner.clear()
-        if len(self.first) > self.kept:
-            self.first = {"": b"\0"}
-        return out
-
-    def _learn(self, inner: set[str], first: set[str]) -> None:
-        """Remember the ids of units; an empty value marks one whose text must be encoded whole."""
-        for units, known, lead in ((inner, self.inner, " "), (first, self.first, "")):
-            plain = []
-            for u in units:
-                if not u or u[-1].isspace() or (lead and u[0].isspace()):
-                    known[u] = b""
+        # Two generations of units that follow a space; the older one is forgotten when the younger is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+
+    def _ids(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with the end id, and where each text ends."""
+        lists = pc.split_pattern(batch, " ")
+        ends = np.asarray(lists.offsets)[1:]
+        starts = np.concatenate([[0], ends[:-1]])
+        units = lists.flatten().dictionary_encode()
+        known = self._learnt(units.dictionary.to_pylist())
+        at = np.asarray(units.indices).astype(np.int64)
+        # A first unit does not follow a space; a text whose units are not plain is encoded whole.
+        whole = np.array([not k for k in known])[at]
+        whole[starts] = False
+        first = units.take(pa.array(starts)).to_pylist()
+        odd = np.logical_or.reduceat(whole, starts) | np.array([u[-1:].isspace() for u in first])
+        first = self._ids([t.as_py() if o else u for t, o, u in zip(batch, odd, first, strict=True)])
+        parts = [*known, b"", np.array([end_id], "<u4").tobytes(), *[i.tobytes() for i in first]]
+        at[np.repeat(odd, ends - starts)] = len(known)
+        at[starts] = len(known) + 2 + np.arange(len(batch))
+        taken = pa.array(parts, pa.binary()).take(pa.array(np.insert(at, ends, len(known) + 1)))
+        _, offsets, data = taken.buffers()
+        done = np.frombuffer(offsets, np.int32) // 4
+        return np.frombuffer(data, "<i4"), done[1 + ends + np.arange(len(batch))]
+
+    def _learnt(self, units: list[str]) -> list[bytes]:
+        """Ids of units that follow a space; none for one whose text must be encoded whole."""
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        known = list(map(self.young.get, units))
+        fresh = []
+        for k, ids in enumerate(known):
+            if ids is None:
+                u = units[k]
+                ids = self.old.get(u)
+                if ids is None and u and not u[0].isspace() and not u[-1].isspace():
+                    fresh.append(k)
                 else:
-                    plain.append(u)
-            known.update(zip(plain, self._ids([lead + u for u in plain]), strict=True))
+                    known[k] = self.young[u] = ids or b""
+        for at in range(0, len(fresh), JOINED):
+            places = fresh[at : at + JOINED]
+            # Every space begins a pre-token, so a unit's ids begin at a token that begins with one.
+            ids = self._ids(["".join(" " + units[k] for k in places)])[0]
+            cuts = np.flatnonzero(self.spaced[ids]) * 4
+            if len(cuts) != len(places):
+                raise ValueError("a token holds a space that does not begin it")
+            data, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+            for k, a, b in zip(places, cuts, cuts[1:], strict=False):
+                known[k] = self.young[units[k]] = data[a:b]
+        return known
 
 
 @lru_cache(2)
@@ -96,20 +116,29 @@ def unit_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``SLICE`` bytes of a text column."""
+    at, size = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size += n
+        if size > SLICE:
+            yield batch.slice(at, k + 1 - at)
+            at, size = k + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def token_rows(docs: DataFrame, path: str, end_id: int, files: int) -> DataFrame:
     """Rows of ``SCHEMA``, dealt out and sorted by ``doc_id``."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = [i + end for i in encoder.encode(part.column(2).to_pylist())]
-                ends = np.cumsum([0] + [len(i) // 4 for i in ids], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(ends), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(ends).astype(np.int32)), lists], ["file_no", "doc_id", "n_tokens", "ids"])
+            for part in _slices(batch, 2):
+                values, ends = encoder.encode(part.column(2), end_id)
+                ends = np.concatenate([[0], ends]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(ends)), lists], ["file_no", "doc_id", "n_tokens", "ids"])
 
     dealt = texts(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     return dealt.select(F.spark_partition_id().alias("file_no"), "doc_id", "text").mapInArrow(encoded, SCHEMA)
@@ -142,15 +171,29 @@ def starts(meta: DataFrame) -> DataFrame:
     return meta.withColumn("own", F.coalesce(own, F.lit(0))).join(offsets, "file_no").withColumn("start", F.col("offset") + F.col("own")).drop("own", "offset")
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids], dtype="int64")
+def with_crc32(rows: DataFrame) -> DataFrame:
+    """``file_no, doc_id, n_tokens, ids_crc32`` of rows of ``SCHEMA``: the digest of the ids as little-endian 32-bit integers."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(3)
+            ends, data = np.asarray(ids.offsets).tolist(), memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["file_no", "doc_id", "n_tokens", "ids_crc32"])
+
+    return rows.mapInArrow(digests, "file_no int, doc_id long, n_tokens int, ids_crc32 long")
+
+
+def file_count(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Files of about ``file_bytes`` of text, so that a file does not grow with the data; a task for each core at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(tasks(docs.sparkSession), -(-size // file_bytes))
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Write the files into the shared folder, read them back: ``doc_id, start, n_tokens, ids_crc32``."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, out, path, end_id, tasks(spark))
-    rows = read_tokens(spark, out).select("file_no", "doc_id", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    write_tokens(docs, out, path, end_id, file_count(docs))
+    rows = with_crc32(read_tokens(spark, out))
     return starts(rows).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,8 +29,16 @@ def test_units_equal_whole_texts(library):
     draw = random.Random(5)
     batch = ["".join(draw.choices(PIECES, k=draw.randint(0, 25))) for _ in range(3000)]
     for at in range(0, len(batch), 100):
-        for text, ids in zip(batch[at : at + 100], encoder.encode(batch[at : at + 100]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == library(text), repr(text)
+        values, ends = encoder.encode(pa.array(batch[at : at + 100]), 2)
+        for text, a, b in zip(batch[at : at + 100], [0, *ends.tolist()], ends.tolist(), strict=False):
+            assert values[a:b].tolist() == [*library(text), 2], repr(text)
+
+
+def test_slices_cover_a_batch(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["", "a" * 30, "bc", "", "d" * 9])], ["text"])
+    parts = list(token_files._slices(batch, 0))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist() and len(parts) == 2
 
 
 def test_round_trip(spark, library):
