@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from oddsmill.llm.common import texts
 
-LEAF = 1 << 14
+LEAF = 512
 WINDOW = 64
 LOOKAHEAD = 3
 SLICE = 256
+_GAP = regex.compile(r"(?<=\S)(?=\s)")
 
 
 class TreeBpe:
@@ -48,7 +49,7 @@ class TreeBpe:
 
         self.enc = tiktoken.Encoding("tree_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
-        self.leaf, self.window = leaf, window
+        self.leaf, self.window = max(leaf, 1), window
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.digits = {i: str(i) for i in ranks.values()}
 
@@ -78,9 +79,9 @@ class TreeBpe:
         meet = common[0] if common else end
         # Each match on its own: a window cut at ``meet`` would look like the end of the text.
         middle = [i for m in self.split.finditer(text, drop_from, stop) if m.end() <= meet for i in self.enc.encode_ordinary(m.group())]
-        kept = self._tokens_before(left, len(text[start:drop_from].encode()))
-        skipped = self._tokens_before(right, len(text[mid:meet].encode())) if meet > mid else 0
-        return left[:kept] + middle + right[skipped:]
+        dropped = self._tokens_of(reversed(left), len(text[drop_from:mid].encode()))
+        skipped = self._tokens_of(right, len(text[mid:meet].encode()))
+        return left[: len(left) - dropped] + middle + right[skipped:]
 
     def _final_border(self, text: str, start: int, mid: int, left: list[int]) -> int:
         """The last pre-token border of ``text[start:mid]`` that no text after ``mid`` can move.
@@ -95,7 +96,7 @@ class TreeBpe:
             anchor = low
             if low > start:
                 # Before a white space that follows a visible character a match always ends.
-                gap = regex.compile(r"(?<=\S)(?=\s)").search(text, low + 1, mid)
+                gap = _GAP.search(text, low + 1, mid)
                 if gap is None:
                     size *= 2
                     continue
@@ -105,18 +106,17 @@ class TreeBpe:
                 return ends[-1]
             size *= 2
 
-    def _tokens_before(self, ids: list[int], n_bytes: int) -> int:
-        """How many leading tokens make up ``n_bytes`` bytes."""
-        if n_bytes == 0:
-            return 0
-        done = 0
-        for k, i in enumerate(ids):
-            done += len(self.bytes_of[i])
+    def _tokens_of(self, ids: Iterable[int], n_bytes: int) -> int:
+        """How many of the first tokens make up ``n_bytes`` bytes."""
+        done = count = 0
+        for i in ids:
             if done >= n_bytes:
-                if done > n_bytes:
-                    raise ValueError("a token crosses a pre-token border")
-                return k + 1
-        return len(ids)
+                break
+            done += len(self.bytes_of[i])
+            count += 1
+        if done != n_bytes:
+            raise ValueError("a token crosses a pre-token border")
+        return count
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
