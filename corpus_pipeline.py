@@ -12,39 +12,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmill.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from oddsmill.llm.common import documents, materialise, without
+from oddsmill.llm.common import documents, replaced, scratch
 from oddsmill.llm.language import held_out
 from oddsmill.llm.queries import BPE_RANKS
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below the threshold) go."""
+    """Documents that the classifier rejects (score below the threshold) go.
+
+    A null or empty text is scored as an empty one; repeated rows go or stay together;
+    rows without ``doc_id`` or label are scored and not learnt from; all columns are
+    returned as they are; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit(docs, labels.filter(~held_out(5, 0)))
     return docs.filter(quality.scores_of(model, spark)(F.col("text")) >= quality.THRESHOLD)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal up to white space the one with the smallest doc_id stays."""
-    found = exact_dedup.exact_duplicates(docs)
-    return without(docs, materialise(found.filter("not kept").select("doc_id"), "exact-copies"))
+    """Of texts that are equal up to white space the one with the smallest doc_id stays.
+
+    Null and empty texts are equal to each other; of repeated rows one stays; a row
+    without ``doc_id`` is named by a hash of its text; all columns of a row that stays are
+    returned, whatever their names; an empty table stays empty.
+    """
+    return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    found = near_dedup.near_duplicates(docs)
-    return without(docs, materialise(found.filter("not kept").select("doc_id"), "near-copies"))
+    """One document of each group of near duplicates stays.
+
+    Texts without words (null, empty) are near to nothing and stay; of repeated rows one
+    stays; a row without ``doc_id`` is named by a hash of its text; all columns of a row
+    that stays are returned, whatever their names; an empty table stays empty.
+    """
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it takes 0 times go."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.select(*docs.columns)
+    """Each document as often as the mix takes it; documents that it takes 0 times go.
+
+    Texts without words (null, empty) are taken 0 times; repeated rows are documents of
+    their own; a null source is one more source; a row without ``doc_id`` is named by a
+    hash of its text; all columns are returned, whatever their names; an empty table stays
+    empty.
+    """
+    return mixing.repeated_by_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, their digest, and the digest of the bytes that they decode to."""
+    """Token ids of every row, their digest, and the digest of the bytes that they decode to.
+
+    A null text is empty and has no ids; repeated rows are encoded alike; other columns
+    are not read; an empty table stays empty.
+    """
     return bpe.round_trip(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
@@ -63,5 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        # What a stage wrote on its way is deleted once its result is written.
+        with scratch(spark) as keep:
+            docs = keep(replaced(stage(spark, docs, sf_dir), f"stage-{k}", docs))
     return docs

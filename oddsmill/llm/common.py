@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made
-    and set as the checkpoint directory.
+    Only in a local session without that setting (tests) a temporary folder is made
+    and set as the checkpoint directory; on a cluster the setting must be there.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     known = getattr(sc, "_oddsmill_shared", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="oddsmill-")
@@ -35,16 +40,63 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, {})[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+#: Paths of the written tables of each application that are still there.
+_WRITTEN: dict[str, dict[str, None]] = {}
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Delete a written table that no plan reads any more."""
+    if _WRITTEN.get(spark.sparkContext.applicationId, {}).pop(path, 0) is None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def replaced(df: DataFrame, name: str, before: DataFrame) -> DataFrame:
+    """``materialise``, then delete the written table ``before`` that ``df`` took the place of."""
+    out = materialise(df, name)
+    discard(df.sparkSession, getattr(before, "_written_at", None))
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within, tables may be written; at the end those that were not handed to the given function are deleted."""
+    known, kept = set(_WRITTEN.get(spark.sparkContext.applicationId, {})), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written_at)
+        return df
+
+    yield keep
+    for path in set(_WRITTEN.get(spark.sparkContext.applicationId, {})) - known - kept:
+        discard(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_id() -> Column:
+    """``doc_id``; a row without one is named by a hash of its text."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone, a null text as the empty one."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """``doc_id`` and ``text`` alone, a null text as the empty one, a null ``doc_id`` as the hash of its text."""
+    return docs.select(row_id().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def with_salt(df: DataFrame, row_key: str, salts: int) -> DataFrame:
@@ -57,8 +109,8 @@ def replicated(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int, key: str = "doc_id") -> tuple[DataFrame, Column]:
-    """``docs`` and whether a row's ``key`` may be in ``ids``, by a broadcast bitmap.
+def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int, key: Column, name: str) -> tuple[DataFrame, Column]:
+    """``docs`` and whether a row's ``key`` may be in column ``name`` of ``ids``, by a broadcast bitmap.
 
     The bitmap has at least 16 hashed bits an id.  Its size is known from the count of
     ``ids``; beyond ``most_bits`` (32 MB) no bitmap is made and every row may be in.
@@ -66,11 +118,12 @@ def _flagged(docs: DataFrame, ids: DataFrame, most_bits: int, key: str = "doc_id
     bits = 1 << max(15, (16 * ids.count() - 1).bit_length())
     if bits > most_bits:
         return docs, F.lit(True)
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    maps = ids.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("_bitmap"))
-    found = docs.join(F.broadcast(maps), F.shiftright(place, 15) == F.col("_bucket"), "left")
-    at = place.bitwiseAND(F.lit(32767)).cast("int")
-    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    bucket, bitmap = unused(docs, "_bucket"), unused(docs, "_bitmap")
+    maps = ids.select(place(F.col(name)).alias("p")).groupBy(F.shiftright("p", 15).alias(bucket)).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias(bitmap))
+    found = docs.join(F.broadcast(maps), F.shiftright(place(key), 15) == F.col(bucket), "left")
+    at = place(key).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
     return found, F.coalesce(bit == 1, F.lit(False))
 
@@ -81,16 +134,40 @@ def maybe_in(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28, key: str
     Spares the texts of other documents the shuffle of the exact join that follows.
     ``ids`` should be a written table, as it is read twice.
     """
-    found, flag = _flagged(docs, ids, most_bits, key)
+    found, flag = _flagged(docs, ids, most_bits, F.col(key), key)
     return found.filter(flag).select(*[docs[c] for c in docs.columns])
 
 
-def without(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is not in ``ids``; only the few that may be are shuffled."""
-    found, flag = _flagged(docs, ids, most_bits)
-    columns = [docs[c] for c in docs.columns]
+def parted(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose ``row_id`` is not in ``ids`` (doc_id), and those whose is; few others are shuffled."""
+    found, flag = _flagged(docs, ids, most_bits, row_id(), "doc_id")
+    columns, name = [docs[c] for c in docs.columns], unused(docs, "_id")
     sure = found.filter(~flag).select(*columns)
-    return sure.unionByName(found.filter(flag).select(*columns).join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+    maybe, wanted = found.filter(flag).select(*columns), ids.select(F.col("doc_id").alias(name)).distinct()
+    out = [maybe.join(wanted, row_id() == F.col(name), how).select(*docs.columns) for how in ("left_anti", "left_semi")]
+    return sure.unionByName(out[0]), out[1]
+
+
+def without(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose ``row_id`` is not in ``ids``."""
+    return parted(docs, ids, most_bits)[0]
+
+
+def kept_once(docs: DataFrame, found: DataFrame, text: Column, name: str) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, kept; a row for each) keeps, in all their columns.
+
+    Of rows with one ``doc_id`` and an equal ``text`` one stays, whichever has the least
+    hash of its columns.
+    """
+    found = materialise(found.select("doc_id", "kept"), name)
+    rows = without(docs, materialise(found.filter("not kept").select("doc_id").distinct(), f"{name}-gone"))
+    repeated = materialise(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), f"{name}-repeated")
+    if repeated.isEmpty():
+        return rows
+    once, again = parted(rows, repeated)
+    plain = [F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, (MapType, VariantType)) else F.col(c) for c in docs.columns]
+    one = again.groupBy(row_id().alias("i"), F.sha2(text, 256).alias("t")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("one"))
+    return once.unionByName(one.select("one.*"))
 
 
 def tasks(spark: SparkSession) -> int:

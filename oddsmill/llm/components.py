@@ -2,7 +2,8 @@
 
 Every round is a grouping and a join on the edges, written to the shared folder;
 nothing is collected.  Hubs are met by partial aggregation and by Spark's skew
-joins (both inputs of each join are written tables).
+joins: both inputs of each join are read from written tables, so that the partition
+of a hub can be split.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise
+from oddsmill.llm.common import materialise, replaced
 
 
 def _digest(edges: DataFrame):
@@ -20,14 +21,14 @@ def _digest(edges: DataFrame):
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above ``u`` is linked to the least of ``u`` and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``u`` and its neighbours below are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     links = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -37,8 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     last = _digest(edges)
     while last[0]:
-        edges = materialise(_large_star(edges).filter("u <> v").distinct(), "edges")
-        edges = materialise(_small_star(edges).filter("u <> v").distinct(), "edges")
+        edges = replaced(_large_star(edges).filter("u <> v").distinct(), "edges", edges)
+        edges = replaced(_small_star(edges).filter("u <> v").distinct(), "edges", edges)
         now = _digest(edges)
         if now == last:
             break

@@ -11,7 +11,8 @@ document.
 
 Edge cases: a null text counts as empty, and empty texts are equal to each
 other; a row that occurs twice (same ``doc_id`` and text) yields two equal output
-rows and counts twice in ``group_size``; ``doc_id`` must not stand for two
+rows and counts twice in ``group_size``, and ``drop_duplicates`` keeps one of them; a
+null ``doc_id`` is named by a hash of the text; ``doc_id`` must not stand for two
 different texts; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -25,13 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise, maybe_in, replicated, texts, with_salt
+from oddsmill.llm.common import kept_once, materialise, maybe_in, texts
 
 CHUNK = 1 << 16
 HUGE = 1 << 20
 MODULI = (2147483647, 2147483629)
 BASE = 1_000_003
-SALTS = 16
 PER_SALT = 500
 
 
@@ -122,18 +122,24 @@ def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: i
     found = None
     while True:
         groups = left.groupBy(key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("members")).filter("members > 1")
-        groups = groups.select(*key, "keep_id", (1 + F.floor(F.col("members") / PER_SALT)).alias("salts"))
-        pairs = materialise(with_salt(left, "doc_id", SALTS).join(replicated(groups, SALTS), [*key, "salt"]).select("doc_id", "keep_id", "copies", "salts", *key), "pairs")
+        # Both sides are read from written tables, so that Spark can split the partition of a large group.
+        groups = materialise(groups.select(*key, "keep_id", (1 + F.floor(F.col("members") / PER_SALT)).alias("salts")), "groups")
+        pairs = materialise(left.join(groups, key).select("doc_id", "keep_id", "copies", "salts", *key), "pairs")
         differ = materialise(_unequal(docs, pairs.filter("doc_id <> keep_id"), chunk), "unequal")
         same = pairs.join(differ, "doc_id", "left_anti").select("doc_id", "keep_id", "copies")
         found = same if found is None else found.unionByName(same)
         if differ.isEmpty():
             break
         left = pairs.join(differ, "doc_id", "left_semi").select("doc_id", "copies", *key)
-    sizes = found.groupBy("keep_id").agg(F.sum("copies").alias("group_size"))
-    known = with_salt(found, "doc_id", SALTS).join(replicated(sizes, SALTS), ["keep_id", "salt"]).select("doc_id", "keep_id", "group_size")
+    sizes = materialise(found.groupBy("keep_id").agg(F.sum("copies").alias("group_size")), "sizes")
+    known = found.join(sizes, "keep_id").select("doc_id", "keep_id", "group_size")
     out = prints.join(known, "doc_id", "left").select(
         "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", "copies").alias("group_size"), "text_sha256", "copies",
     )
     one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return out.withColumn("nth", one).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, in all their columns, that stay: one of each group of equal texts."""
+    return kept_once(docs, exact_duplicates(docs), normalised(), "exact-copies")

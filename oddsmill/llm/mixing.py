@@ -12,7 +12,7 @@ source ends within about its smallest document of the target.
 
 Edge cases: a null text has size 0, and rows of size 0 take nothing; a null
 source is a source of its own, last in the order; repeated rows are separate
-documents; sources without words get target 0; if the whole table has no word,
+documents; a null ``doc_id`` is named by a hash of the text; sources without words get target 0; if the whole table has no word,
 all targets are 0; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -25,18 +25,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise
+from oddsmill.llm.common import materialise, replaced, row_id, unused
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-STEPS = 24
+STEPS = 200  # a bracket that is halved ends well before; a dual that needs more is an error
 TOLERANCE = 1e-9
 BUCKETS = 64
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size``: the words of each text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    return docs.select(row_id().alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -78,7 +78,7 @@ def multipliers(hist: DataFrame, goals: DataFrame, cap: int = CAP, steps: int =
         (F.least(F.log(F.col("target") / F.col("words")), F.lit(0.0)) * F.col("words") / F.col("docs") / F.col("least") - 1e-9).alias("low"),
         F.lit(0.0).alias("lam"), (F.col("target") >= F.col("words") * cap * (1 - 1e-12)).alias("full"),
     )
-    state = materialise(state, "mix-state")
+    state = moved_from = materialise(state, "mix-state")
     for _ in range(steps):
         rows = hist.join(state, hist["source"].eqNullSafe(state["source"])).drop(hist["source"])
         x = F.col("size") / F.col("mean")
@@ -93,10 +93,12 @@ def multipliers(hist: DataFrame, goals: DataFrame, cap: int = CAP, steps: int =
         done = F.abs(gap) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0))
         lam = F.when(done, F.col("lam")).when(inside, newton).otherwise((low + high) / 2)
         moved = sums.select("source", "mean", "words", "target", high.alias("high"), low.alias("low"), lam.alias("lam"), "full", (done | F.col("full")).alias("done"))
-        moved = materialise(moved, "mix-state")
-        state = moved.drop("done")
+        moved = replaced(moved, "mix-state", moved_from)
+        state, moved_from = moved.drop("done"), moved
         if moved.filter("not done").isEmpty():
             break
+    else:
+        raise ValueError(f"no solution of the dual after {steps} steps")
     return state.select("source", "mean", "target", "full", "lam")
 
 
@@ -142,3 +144,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, ste
     nth = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
     rows = rows.withColumn("copies", F.coalesce(F.col("each") + (nth <= F.col("extra")).cast("long"), F.lit(0)).cast("long"))
     return rows.join(goals, rows["source"].eqNullSafe(goals["source"])).select("doc_id", rows["source"], "size", "source_size", "target", "copies")
+
+
+def repeated_by_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The rows of ``docs``, in all their columns, each as often as the mix takes it."""
+    share = F.struct("source", "size", (-F.col("copies")).alias("less"))
+    # As many shares as rows have the doc_id: one, but for repeated rows.
+    shares = mix(docs, weights, cap).groupBy("doc_id").agg(F.array_sort(F.collect_list(share)).alias("shares"))
+    key, given, nth = (unused(docs, n) for n in ("_id", "_shares", "_nth"))
+    shares = shares.filter(F.exists("shares", lambda x: x["less"] < 0)).select(F.col("doc_id").alias(key), F.col("shares").alias(given))
+    rows = docs.withColumn(key, row_id()).join(shares, key)
+    own = F.row_number().over(Window.partitionBy(key).orderBy(F.col("source").asc_nulls_first()))
+    copies = -F.element_at(given, F.col(nth))["less"]
+    rows = rows.withColumn(nth, own).filter(copies > 0)
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)

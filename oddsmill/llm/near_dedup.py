@@ -19,9 +19,10 @@ bound (0.6 of the minima) rejects it with a smaller one.  There is no cap on
 partners or candidates.
 
 Edge cases: texts without words (null, empty, white space) have no shingle and are
-their own component; repeated rows share one class and one ``doc_id``; texts of
-fewer than five words have one shingle; an empty table gives an empty result;
-other columns are ignored.
+their own component; repeated rows share one class and one ``doc_id``, and
+``drop_near_duplicates`` keeps one of them; a null ``doc_id`` is named by a hash of the
+text; texts of fewer than five words have one shingle; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from oddsmill.llm.common import materialise, maybe_in, texts
+from oddsmill.llm.common import kept_once, materialise, maybe_in, replaced, tasks, texts
 from oddsmill.llm.components import components
 from oddsmill.llm.shingles import MinHash, mix, shingle_sets
 
@@ -132,13 +133,27 @@ def _block_links(similar: int):
     return found
 
 
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Add ``block`` to ``members`` (crowd, n, doc_id, ...): about ``block`` shingles each, by set size.
+
+    Running sums by ranges of the order, after the sums of the ranges before: no task
+    holds a crowd.
+    """
+    order = ["crowd", "n", "doc_id"]
+    dealt = materialise(members.repartitionByRange(tasks(members.sparkSession), *order).withColumn("part", F.spark_partition_id()), "crowd-ranges")
+    sums = dealt.groupBy("crowd", "part").agg(F.sum("n").alias("own"))  # a row for each range that a crowd meets
+    before = Window.partitionBy("crowd").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("crowd", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("crowd", "part").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(sums, ["crowd", "part"]).withColumn("block", F.floor(upto / block)).drop("part", "before")
+
+
 def _crowd_links(docs: DataFrame, rows: DataFrame, similar: int, size: int, block: int) -> DataFrame:
     """Links (a, b, ca, cb) across components among the members of large open buckets: ``rows`` (key, doc_id, n, c)."""
     firsts = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "crowd-firsts")
     crowds = components(rows.join(firsts, "key").select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
     members = rows.select("doc_id", "n", "c").distinct().join(crowds.select(F.col("node").alias("doc_id"), F.col("component").alias("crowd")), "doc_id")
-    upto = F.sum("n").over(Window.partitionBy("crowd").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    members = materialise(members.withColumn("block", F.floor(upto / block)), "crowds")
+    members = materialise(_in_blocks(members, block), "crowds")
     spans = members.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     later = spans.select("crowd", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
     pairs = spans.join(later, "crowd").filter((F.col("block") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo_j") * similar))
@@ -153,7 +168,7 @@ def _placed(placed: DataFrame, links: DataFrame) -> DataFrame:
     """``placed`` (key, doc_id, n, members, c) after the links (ca, cb) between components."""
     moved = components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
     joined = placed.join(moved, placed["c"] == moved["node"], "left")
-    return materialise(joined.select("key", "doc_id", "n", "members", F.coalesce("component", "c").alias("c")), "placed")
+    return replaced(joined.select("key", "doc_id", "n", "members", F.coalesce("component", "c").alias("c")), "placed", placed)
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -187,6 +202,8 @@ def linked(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int =
     rows = materialise(reps.select("doc_id", "n", F.explode("keys").alias("key")), "bands")
     buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
     placed = materialise(rows.join(buckets, "key").select("key", "doc_id", "n", "members", F.col("doc_id").alias("c")), "shared")
+    if placed.isEmpty():
+        return placed.select(F.col("doc_id").alias("node"), F.col("c").alias("component"))
     docs = docs.select("doc_id", "text")
     still, tried = placed, None
     for turn in range(turns):
@@ -220,3 +237,8 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, b
     placed = classes.join(known, classes["rep"] == known["node"], "left")
     component = F.coalesce("component", "rep")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, in all their columns, that stay: one of each component of near duplicates."""
+    return kept_once(docs, near_duplicates(docs), F.coalesce("text", F.lit("")), "near-copies")

@@ -11,6 +11,7 @@ from test_near_dedup import brute as near_brute
 
 import corpus_pipeline
 from oddsmill.llm import bpe
+from oddsmill.llm.common import materialise
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +40,7 @@ def test_stages(spark, folder):
     steps = dict(corpus_pipeline.STAGES)
     after = []
     for name, stage in list(steps.items())[:-1]:
-        docs = corpus_pipeline.materialise(stage(spark, docs, folder), "test")
+        docs = materialise(stage(spark, docs, folder), "test")
         assert docs.columns == columns, name
         after.append([r.doc_id for r in docs.collect()])
     good, exact, near, mixed = after
