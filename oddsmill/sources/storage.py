@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is not set (local runs)."""
+    """``spark.checkpoint.dir``; a temporary folder only in a local session where that is not set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not hasattr(sc, "_oddsmill_work"):
         sc._oddsmill_work = tempfile.mkdtemp(prefix="oddsmill-")
         sc.setCheckpointDir(sc._oddsmill_work)
