@@ -4,22 +4,23 @@ A text is cut into paragraphs (sentences and lines, long ones at 160 characters)
 and each distinct paragraph is hashed to 64 bits.  A sketch has three tables of
 cells; a digest falls into one cell of each, where digests and their check values
 are XORed and counted.  The cells of two versions subtract; peeling then recovers
-the differing digests from cells that hold just one.  If it stops early, the
-sketches are built again, larger: long texts in shards of about ``SHARD`` digests,
-so that the work grows with the length of the text.  If larger cells fail twice, the
-digests themselves are compared.
+the differing digests, by side, from cells that hold just one.
 
-The likeness of two versions is ``(|A| + |B| - d) / (|A| + |B| + d)`` for d differing
-digests, the Jaccard similarity of their paragraph sets.  For versions whose base
-cells already show little in common (an estimate under ``RETRY_FROM``) the estimate
-is the likeness: the squares of the subtracted counts grow with d.
+If peeling stops early, the sketches are built again, larger.  The digests of both
+versions are dealt into shards of about ``SHARD`` by their value, in one sort, so that the
+work grows with the length of the text; the counts of the base cells tell how many
+digests of a shard may differ and so the first width.  A shard that fails again is
+tried with twice the cells, until all its digests are recovered.
+
+The likeness of two versions is ``(|A| + |B| - d) / (|A| + |B| + d)`` for d recovered
+digests: the Jaccard similarity of their paragraph sets.
 
 Everything is built-in functions: no Python runs on the executors.
 
 Edge cases: a null text is empty; two empty texts have likeness 1; a repeated
 paragraph counts once; with one document the next document is itself; repeated rows
-(same ``doc_id``) yield equal rows; an empty table gives an empty result; other
-columns are ignored.
+(same ``doc_id``) yield equal rows; a null ``doc_id`` is named by a hash of the text; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from oddsmill.llm.common import materialise, tasks, texts
 
 TABLES = 3
 CELLS = 8  # of each table of the base sketch
-SHARD = 64
+SHARD = 32
 ROUNDS = 14
-RETRY_FROM = 0.2
+TRIES = 24  # with twice the cells each; a shard that needs more is an error
 PARAGRAPH = r"(?s)[^\n]{24,160}?[.!?\n]+|[^\n]{1,160}\n*|\n+"
 
 
@@ -46,18 +47,19 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(1))
 
 
-def _places(digest: Column, cells: Column) -> list[Column]:
-    """The cell of a digest within each table: other bits for every table."""
+def _places(check: Column, cells: Column) -> list[Column]:
+    """The cell of a digest within each table: other bits of its check value for every table."""
     out = []
     for table in range(TABLES):
-        bits = F.call_function("shiftrightunsigned", digest, F.lit(20 * table))
+        bits = F.call_function("shiftrightunsigned", check, F.lit(20 * table))
         out.append(F.pmod(bits.bitwiseAND(F.lit(1048575)).cast("int"), cells).alias(f"p{table}"))
     return out
 
 
 def sketch(found: Column, cells: Column) -> Column:
     """``TABLES * cells`` structs (count, key, check) of an array of digests."""
-    keyed = F.transform(found, lambda d: F.struct(d.alias("d"), _check(d).alias("c"), *_places(d, cells)))
+    checked = F.transform(found, lambda d: F.struct(d.alias("d"), _check(d).alias("c")))
+    keyed = F.transform(checked, lambda x: F.struct(x["d"].alias("d"), x["c"].alias("c"), *_places(x["c"], cells)))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -75,8 +77,9 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, width: Column, rounds: int = ROUNDS) -> Column:
-    """How many digests a subtracted sketch gives up, or -1 if some stay hidden."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
+    """The digests that a subtracted sketch gives up, by side: ``a``, ``b``, and whether that is ``all``."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(cells.alias("cells"), none.alias("a"), none.alias("b"), F.lit(True).alias("more"))
 
     def take(acc: Column, p: Column) -> Column:
         return F.struct((acc["n"] - p["n"]).alias("n"), acc["k"].bitwiseXOR(p["k"]).alias("k"), acc["c"].bitwiseXOR(p["c"]).alias("c"))
@@ -87,18 +90,19 @@ def peel(cells: Column, width: Column, rounds: int = ROUNDS) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
-        keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), *_places(c["k"], width))))
+        keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), *_places(c["c"], width))))
 
         def without(own: Column) -> Column:
             cells = F.when(F.size(own) > 0, F.concat(*[table(state, t, own) for t in range(TABLES)])).otherwise(state["cells"])
-            return F.struct(cells.alias("cells"), (state["found"] + F.size(own)).alias("found"), (F.size(own) > 0).alias("more"))
+            sides = (F.concat(state[c], F.transform(F.filter(own, lambda p: p["n"] == n), lambda p: p["k"])).alias(c) for c, n in (("a", 1), ("b", -1)))
+            return F.struct(cells.alias("cells"), *sides, (F.size(own) > 0).alias("more"))
 
         # The keys are bound once for all cells.
         return F.when(state["more"], F.transform(F.array(keys), without)[0]).otherwise(state)
 
     def verdict(state: Column) -> Column:
         left = F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
-        return F.when(left, F.lit(-1)).otherwise(state["found"])
+        return F.struct(state["a"].alias("a"), state["b"].alias("b"), (~left).alias("all"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, verdict)
 
@@ -106,32 +110,49 @@ def peel(cells: Column, width: Column, rounds: int = ROUNDS) -> Column:
 def estimate(cells: Column, a: Column, b: Column) -> Column:
     """Differing digests from the counts of a subtracted sketch that peeling can't open."""
     m = F.size(cells)
-    squares = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, c: acc + (c["n"] * c["n"]).cast("long"))
-    even = (a - b) * (a - b) * (TABLES * TABLES) / m
+    squares = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, c: acc + c["n"].cast("long") * c["n"])
+    even = (a - b).cast("double") * (a - b) * (TABLES * TABLES) / m
     return F.least(F.greatest((squares - even) / (TABLES * (1 - F.lit(float(TABLES)) / m)), F.abs(a - b)), a + b)
 
 
-def _larger(a: Column, b: Column) -> Column:
-    """Differing digests of two arrays by larger sketches, shard by shard."""
-    shards = F.greatest(F.ceil(F.greatest(F.size(a), F.size(b)) / SHARD), F.lit(1)).cast("int")
+def _dealt(found: Column, shards: Column) -> Column:
+    """``shards`` arrays of the digests by ranges of their value: one sort, with the least value of each range put in."""
+    step = F.call_function("div", F.lit(2**63 - 1), shards.cast("long")) + 1
+    first = F.transform(F.sequence(F.lit(0), shards - 1), lambda k: (k.cast("long") * step - 2**62) * 2)
+    shard = lambda d: F.call_function("div", F.shiftright(d, 1) + 2**62, step)
+
+    def cut(ordered: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (shard(F.element_at(ordered, i)) != shard(F.element_at(ordered, F.greatest(i - 1, F.lit(1))))))
+
+        def slices(starts: Column) -> Column:
+            return F.transform(starts, lambda i, k: F.slice(ordered, i + 1, F.coalesce(F.get(starts, k + 1), F.size(ordered) + 1) - i - 1))
+
+        return F.transform(F.array(at), slices)[0]
+
+    return F.transform(F.array(F.sort_array(F.concat(found, first))), cut)[0]
+
 
-    def part(found: Column, k: Column) -> Column:
-        return F.when(shards == 1, found).otherwise(F.filter(found, lambda d: F.pmod(d, shards) == k))
+def differing(a: Column, b: Column, guess: Column) -> Column:
+    """The digests of only one of two arrays, by side (``a``, ``b``), by larger sketches in shards; about ``guess`` may differ."""
+    shards = F.greatest(F.ceil(F.greatest(F.size(a), F.size(b)) / SHARD), F.lit(2)).cast("int")
+    each = F.greatest(guess, F.lit(1)) / shards
+    none = F.array().cast("array<bigint>")
 
-    def differing(s: Column) -> Column:
-        size = F.size(s["a"]) + F.size(s["b"])
+    def recovered(s: Column) -> Column:
+        start = F.struct(none.alias("a"), none.alias("b"), F.lit(False).alias("all"))
+        # Three tables open at 1.23 cells a digest; the root leaves room for shards that got more than others.
+        width = F.ceil((1.4 * (each + 2 * F.sqrt(each))) / TABLES).cast("int") + 3
 
-        def attempt(width: Column) -> Column:
-            return peel(subtract(sketch(s["a"], width), sketch(s["b"], width)), width)
+        def attempt(state: Column, k: Column) -> Column:
+            w = (width * F.call_function("shiftleft", F.lit(1), k) + k).cast("int")
+            again = F.transform(F.array(w), lambda w: peel(subtract(sketch(s["x"], w), sketch(s["y"], w)), w))[0]
+            return F.when(state["all"], state).otherwise(again)
 
-        plain = F.size(F.array_except(s["a"], s["b"])) + F.size(F.array_except(s["b"], s["a"]))
-        tries = F.transform(F.array(attempt((size / 6).cast("int") + 4)), lambda d: F.when(d >= 0, d).otherwise(
-            F.transform(F.array(attempt((size / 2).cast("int") + 12)), lambda e: F.when(e >= 0, e).otherwise(plain))[0]
-        ))
-        return tries[0]
+        done = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, attempt)
+        return F.transform(F.array(done), lambda d: F.when(d["all"], d).otherwise(F.raise_error(F.lit("two digests share their cells at every width")).cast("struct<a:array<bigint>,b:array<bigint>,all:boolean>")))[0]
 
-    each = F.transform(F.sequence(F.lit(0), shards - 1), lambda k: F.struct(part(a, k).alias("a"), part(b, k).alias("b")))
-    return F.aggregate(F.transform(each, differing), F.lit(0).cast("long"), lambda acc, d: acc + d)
+    parts = F.transform(F.zip_with(_dealt(a, shards), _dealt(b, shards), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), recovered)
+    return F.transform(F.array(parts), lambda p: F.struct(*[F.flatten(F.transform(p, lambda d: d[c])).alias(c) for c in "ab"]))[0]
 
 
 def likeness(d: Column, a: Column, b: Column) -> Column:
@@ -144,20 +165,22 @@ def printed(cells: Column, n: Column) -> Column:
 
 
 def compared(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Add ``sketch_a``, ``sketch_b`` and ``likeness`` to rows with digest arrays ``a`` and ``b``."""
+    """Add ``sketch_a``, ``sketch_b``, ``likeness`` and ``likeness_digests`` (a, b: digests of one side only) to rows with digest arrays ``a`` and ``b``."""
     width = F.lit(cells)
     rows = pairs.withColumn("sketch_a", sketch(F.col("a"), width)).withColumn("sketch_b", sketch(F.col("b"), width))
     return _compared(rows, "a", "b", "sketch_a", "sketch_b", "likeness", cells)
 
 
 def _compared(rows: DataFrame, a: str, b: str, sa: str, sb: str, out: str, cells: int) -> DataFrame:
+    """Add ``out``, the likeness, and ``{out}_digests``, the recovered digests by side."""
     na, nb = F.size(a), F.size(b)
     rows = rows.withColumn("_cells", subtract(F.col(sa), F.col(sb)))
-    rows = rows.withColumn("_d", peel(F.col("_cells"), F.lit(cells)))
-    rows = rows.withColumn("_near", likeness(F.when(F.col("_d") >= 0, F.col("_d")).otherwise(estimate(F.col("_cells"), na, nb)), na, nb))
-    again = (F.col("_d") < 0) & (F.col("_near") >= RETRY_FROM)
-    near = F.when(again, likeness(_larger(F.col(a), F.col(b)), na, nb)).otherwise(F.col("_near"))
-    return rows.withColumn(out, near).drop("_cells", "_d", "_near")
+    rows = rows.withColumn("_peeled", peel(F.col("_cells"), F.lit(cells)))
+    sides = F.struct(F.col("_peeled.a").alias("a"), F.col("_peeled.b").alias("b"))
+    found = F.when(F.col("_peeled.all"), sides).otherwise(differing(F.col(a), F.col(b), estimate(F.col("_cells"), na, nb)))
+    rows = rows.withColumn(f"{out}_digests", found)
+    d = F.size(f"{out}_digests.a") + F.size(f"{out}_digests.b")
+    return rows.withColumn(out, likeness(d, na, nb)).drop("_cells", "_peeled")
 
 
 def successors(docs: DataFrame) -> DataFrame:
