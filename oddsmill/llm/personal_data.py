@@ -14,8 +14,8 @@ all texts.
 
 Edge cases: a null text is empty and has no span; equal texts count once in the
 statistics; repeated rows get equal results; base spans of different kinds may
-overlap, term spans never touch a base span; an empty table gives an empty result;
-other columns are ignored.
+overlap, term spans never overlap a base span; a null ``doc_id`` is named by a hash of
+the text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,9 +112,25 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(both, lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(x["kind"] - y["kind"]))
 
 
+def _overlaps(own: Column, p: Column) -> Column:
+    """Whether one of the spans ``own`` (in order, none in another) holds a part of ``p``, by binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi"))
+
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        before = F.get(own, mid)["s"] < p["e"]
+        return F.when(acc["lo"] < acc["hi"], F.struct(F.when(before, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(before, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
+
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(own) + F.lit(1.0))).cast("int"))
+    return (F.size(own) > 0) & F.aggregate(steps, start, half, lambda acc: F.coalesce(F.get(own, acc["lo"] - 1)["e"] > p["s"], F.lit(False)))
+
+
 def free_terms(text: Column, spans: Column) -> Column:
     """Structs (s, e, t) of the terms of a text that touch no base span: place and lower-case form."""
-    free = F.filter(places(text, TERM), lambda p: ~F.exists(spans, lambda b: (p["s"] < b["e"]) & (p["e"] > b["s"])))
+    of = lambda k: F.filter(spans, lambda b: b["kind"] == k)
+    by_kind = F.filter(F.array(*[of(k) for k in range(len(_PATTERNS))]), lambda own: F.size(own) > 0)
+    # Spans of one kind do not overlap; they are parted once, not once a term.
+    free = F.transform(F.array(by_kind), lambda kinds: F.filter(places(text, TERM), lambda p: ~F.exists(kinds, lambda own: _overlaps(own, p))))[0]
     return F.transform(free, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.lower(p["v"]).alias("t")))
 
 

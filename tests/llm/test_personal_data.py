@@ -1,9 +1,13 @@
 """Base spans against Python's patterns, disclosure against counting, redaction by hand."""
 
 import hashlib
+import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from oddsmill.llm import personal_data as pd_
 
 PIECES = ["a@b.co", "x.y+z@foo-bar.example.org", "a@b", "@", "_d@e.f", "192.168.0.1", "1.2.3.4.5.6.7.8", "999.1.1.1", "0001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "0000 0000 0000", "1 2 3 4", "+1 (555) 010-9999", "+49.30.1234567", "+1 2", "+12345678901234567", "é", "语", "🙂", "word", " ", " ", ",", "\n", "7"]
@@ -99,3 +103,43 @@ def test_empty_table_and_native_plan(spark):
     assert out.collect() == []
     plan = pd_.found(docs)._jdf.queryExecution().executedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosure_equals_counting(spark, seed):
+    """p and bits of every term and entity, against counting in Python."""
+    draw = random.Random(seed)
+    people = [(f"p{k}@mail.example", f"+4930123456{k}", [f"{w}{chr(97 + k)}" for w in ("alpha", "bravo", "castle")]) for k in range(5)]
+    rows = []
+    for k in range(160):
+        words = draw.choices(["river", "stone", "cloud", "meadow", "harbour"], k=12)
+        if k % 3 == 0:
+            mail, phone, own = draw.choice(people)
+            words += draw.sample(own, draw.randint(1, 3)) + draw.sample([mail, phone], draw.randint(0, 2))
+        draw.shuffle(words)
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, rows[3 * k][1]) for k in range(10)]  # equal texts count once
+    texts = {t for _, t in rows}
+    carried = {t: {("email", m) for m in re.findall(r"\S+@\S+", t)} | {("phone", m) for m in re.findall(r"\+\d+", t)} for t in texts}
+    terms = {t: {w for w in t.split() if w.isalpha()} for t in texts}
+    want = {}
+    for entity in set().union(*carried.values()):
+        having = [t for t in texts if entity in carried[t]]
+        for term in set().union(*terms.values()) if len(having) >= pd_.SUPPORT else ():
+            both, those = sum(term in terms[t] for t in having), sum(term in terms[t] for t in texts)
+            p = both / those
+            if both >= pd_.SUPPORT and p >= pd_.GENERALISE and (bits := math.log2(p * len(texts) / len(having))) >= pd_.BITS:
+                want[(*entity, term)] = (p, bits)
+    docs = pd_.texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(pd_.KINDS[r.kind], r.v, r.t): (r.p, r.bits) for r in pd_.disclosing(docs, pd_.found(docs).filter("text_id IS NOT NULL")).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_one_text_with_many_spans(spark):
+    text = " ".join(f"word name{k}@host{k}.example 10.0.{k % 300}.1 tail" for k in range(3000))
+    row = pd_.listed(spark.createDataFrame([(1, text), (None, "a@b.example")], "doc_id long, text string")).collect()
+    got = {r.n_email: r.n_ip for r in row}
+    assert got == {3000: sum(k % 300 <= 255 for k in range(3000)), 1: 0}
+    free = spark.createDataFrame([(text,)], "t string").select(pd_.free_terms(F.col("t"), pd_.base_spans(F.col("t"))).alias("f")).first().f
+    assert len(free) == 6000 and {x.t for x in free} == {"word", "tail"}
