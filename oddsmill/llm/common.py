@@ -134,8 +134,14 @@ def maybe_in(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28, key: str
     Spares the texts of other documents the shuffle of the exact join that follows.
     ``ids`` should be a written table, as it is read twice.
     """
+    return sifted(docs, ids, key, most_bits)[1]
+
+
+def sifted(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose ``key`` is surely not in ``ids``, and those whose may be."""
     found, flag = _flagged(docs, ids, most_bits, F.col(key), key)
-    return found.filter(flag).select(*[docs[c] for c in docs.columns])
+    columns = [docs[c] for c in docs.columns]
+    return found.filter(~flag).select(*columns), found.filter(flag).select(*columns)
 
 
 def parted(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:

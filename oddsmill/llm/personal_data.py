@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import joined, materialise, maybe_in, replicated, texts, with_salt
+from oddsmill.llm.common import joined, materialise, maybe_in, replicated, sifted, texts, with_salt
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -148,6 +148,15 @@ def found(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "spans", F.when(some, F.xxhash64("text")).alias("text_id"), F.when(some, terms).alias("terms"))
 
 
+def _words_of_texts(docs: DataFrame) -> DataFrame:
+    """``t``: the distinct terms of each distinct text. Only texts that may have copies are grouped."""
+    rows = docs.select("text", F.xxhash64("text").alias("text_id"))
+    copied = materialise(rows.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1").select("text_id"), "copied-texts")
+    alone, again = sifted(rows, copied, "text_id")
+    once = again.groupBy("text_id").agg(F.first("text").alias("text"))
+    return alone.select("text").unionByName(once.select("text")).select(F.explode(distinct_terms(F.col("text"))).alias("t"))
+
+
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     """``kind, v, t, p, bits``: terms t that disclose the entity (kind, v)."""
     total = docs.select(F.xxhash64("text").alias("text_id")).distinct().agg(F.count("*").alias("texts"))
@@ -159,10 +168,8 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     pairs = carried.join(entities, ["kind", "v"]).join(held, "text_id").select("kind", "v", "with_entity", "texts", F.explode("terms").alias("t"))
     pairs = materialise(pairs.groupBy("kind", "v", "with_entity", "texts", "t").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT), "term-pairs")
     terms = materialise(pairs.select("t").distinct(), "terms")
-    words = docs.select(F.xxhash64("text").alias("text_id"), F.explode(distinct_terms(F.col("text"))).alias("t"))
     # The exact join comes after the counting: one row a term instead of one a text and term.
-    known = maybe_in(words, terms, key="t").distinct().groupBy("t").agg(F.count("*").alias("with_term"))
-    rows = pairs.join(known, "t")
+    rows = pairs.join(maybe_in(_words_of_texts(docs), terms, key="t").groupBy("t").agg(F.count("*").alias("with_term")), "t")
     p = F.col("both") / F.col("with_term")
     bits = F.log2(p * F.col("texts") / F.col("with_entity"))
     return rows.select("kind", "v", "t", p.alias("p"), bits.alias("bits")).filter((F.col("p") >= GENERALISE) & (F.col("bits") >= BITS))
