@@ -11,6 +11,11 @@ from oddsmill.functions.rating import age_years, binary_loss, clipped, decay_wei
 WEIGHTS = (*range(0, 95, 5), 95, 100)
 EVENTS = ("p_score", "p_home", "p_draw", "p_away", "p_over", "p_cover")
 METRICS = ("score_loss", "result_loss", "result_brier", "handicap_loss", "total_loss")
+#: Cumulative probabilities of a Poisson variable of mean 1.
+DRAWS = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
+ERRORS = ("home_error", "away_error")
+#: Weights whose metrics are compared with those of weight 0 by the bootstrap.
+COMPARED = (70, 80, 100)
 
 
 def evaluation_set(rows: DataFrame) -> DataFrame:
@@ -62,6 +67,20 @@ def events(cells: DataFrame, fixtures: DataFrame, keys: list[str], prefix: str)
     return rows.groupBy(*fixtures.columns).agg(*sums, F.sum(h * p).alias(f"{prefix}_home_mean"), F.sum(a * p).alias(f"{prefix}_away_mean"))
 
 
+def with_floor(rows: DataFrame, prefix: str, max_score: int = 80) -> DataFrame:
+    """``events`` of smoothed matrices: the cells that do not occur have ``elsewhere`` each.
+
+    The cells of the grid that an event holds are counted by formula, so that they need no rows.
+    """
+    n = max_score + 1
+    total, margin = (F.floor(F.col(c)).cast("int") + 1 for c in ("total_line", "margin_line"))
+    over = F.when(total <= 0, n * n).when(total <= max_score, n * n - total * (total + 1) / 2).when(total <= 2 * max_score, (2 * n - 1 - total) * (2 * n - total) / 2).otherwise(0)
+    cover = F.when(margin > max_score, 0).when(margin >= 1, (n - margin) * (n + 1 - margin) / 2).when(margin > -max_score, n * n - (max_score + margin) * (n + margin) / 2).otherwise(n * n)
+    held = {"p_score": 1, "p_home": n * max_score / 2, "p_draw": n, "p_away": n * max_score / 2, "p_over": over, "p_cover": cover}
+    held |= {f"{s}_mean": n * n * max_score / 2 for s in ("home", "away")}
+    return rows.withColumns({f"{prefix}_{c}": F.col(f"{prefix}_{c}") + F.col("elsewhere") * k for c, k in held.items()}).drop("elsewhere")
+
+
 def sweep(rows: DataFrame, a: str, b: str, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Events of every blend of models a and b: blends are linear, so six numbers a model are enough."""
     out = rows.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights])))
@@ -77,32 +96,37 @@ def losses(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "score_loss": -F.log(clipped(F.col("p_score"))), "result_loss": -F.log(clipped(p)), "result_brier": brier,
         "handicap_loss": binary_loss(F.col("p_cover"), h - a > F.col("margin_line")), "total_loss": binary_loss(F.col("p_over"), h + a > F.col("total_line")),
+        "home_error": F.abs(F.col("home_mean") - h), "away_error": F.abs(F.col("away_mean") - a),
     })
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.countDistinct("fixture_id").alias("fixtures"), *[F.avg(m).alias(m) for m in METRICS])
+    return rows.groupBy(*by).agg(F.countDistinct("fixture_id").alias("fixtures"), *[F.avg(m).alias(m) for m in (*METRICS, *ERRORS)])
 
 
 def best(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The weight with the least mean of each metric, the smaller weight of equals."""
-    long = table.select(*(by or []), "weight", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("x"))
+    long = table.select(*(by or []), "weight", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value")) for m in (*METRICS, *ERRORS)])).alias("x"))
     return long.groupBy(*(by or []), F.col("x.metric").alias("metric")).agg(F.min(F.struct(F.col("x.value"), F.col("weight"))).alias("b")).select(*(by or []), "metric", "b.weight", "b.value")
 
 
-def bootstrap(rows: DataFrame, metric: str, weight: int, base: int = 0, samples: int = 2000, seed: int = 42) -> DataFrame:
-    """Paired bootstrap of the difference of a metric between two weights.
+def bootstrap(rows: DataFrame, metrics: tuple[str, ...] = METRICS, weights: tuple[int, ...] = COMPARED, base: int = 0, samples: int = 2000, seed: int = 42) -> DataFrame:
+    """Paired bootstrap of the differences of metrics between weights and the base weight.
 
-    Each fixture's count in each sample is a Poisson(1) draw by hash: no index, no
-    join, and the sum over fixtures is a partial aggregate of ``samples`` rows a task.
+    Each fixture's count in each sample is a Poisson(1) draw by hash, the same for all
+    differences: no index, no join, and the sums over fixtures are a partial aggregate of
+    ``samples`` rows a task.
     """
-    pairs = rows.filter(F.col("weight").isin(weight, base)).groupBy("fixture_id").agg(F.max(F.when(F.col("weight") == weight, F.col(metric))).alias("x"), F.max(F.when(F.col("weight") == base, F.col(metric))).alias("y"))
-    d = pairs.dropna().select("fixture_id", (F.col("x") - F.col("y")).alias("d"))
-    drawn = d.select("fixture_id", "d", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("rep"))
-    u = F.pmod(F.xxhash64("fixture_id", "rep", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    n = sum((u >= c).cast("int") for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
-    means = drawn.withColumn("n", n).groupBy("rep").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") < 0).cast("double")).alias("share_better"))
+    at = lambda w, m: F.max(F.when(F.col("weight") == w, F.col(m)))
+    names = {f"d_{m}_{w}": (w, m) for w in weights for m in metrics}
+    pairs = rows.filter(F.col("weight").isin(*weights, base)).groupBy("fixture_id").agg(*[(at(w, m) - at(base, m)).alias(c) for c, (w, m) in names.items()])
+    drawn = pairs.dropna().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    digest = F.md5(F.concat_ws("|", F.col("fixture_id").cast("string"), F.col("rep").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))
+    n = sum((u >= c).cast("int") for c in DRAWS)
+    means = drawn.withColumn("n", n).groupBy("rep").agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in names])
+    long = means.select(F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(m).alias("metric"), F.col(c).alias("m")) for c, (w, m) in names.items()])).alias("x")).select("x.*")
+    return long.groupBy("weight", "metric").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") < 0).cast("double")).alias("share_better"))
 
 
 def model_comparison(rows: DataFrame) -> DataFrame:

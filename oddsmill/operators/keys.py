@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsmill.functions.rating import fixture_key
+
 #: Source names that stand for an existing club.
 ALIASES = {"Leigh Centurions": "Leigh Leopards", "Salford City Reds": "Salford Red Devils", "Wakefield Trinity Wildcats": "Wakefield Trinity"}
 
@@ -80,3 +82,17 @@ def stages(rows: DataFrame, known: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.orderBy("season", "tournament_id", "stage"))  # new stages only
     new = fresh.crossJoin(F.broadcast(top)).select((F.col("top") + nth).cast("long").alias("competition_stage_id"), "tournament_id", "stage")
     return known.select("competition_stage_id", "tournament_id", "stage").unionByName(new)
+
+
+def _keyed(matches: DataFrame) -> DataFrame:
+    """Matches with their natural key as fixture id; of several with one key the least source id counts."""
+    rows = matches.withColumn("fixture_id", fixture_key(F.col("match_date"), F.col("home_team_id"), F.col("away_team_id")))
+    return rows.groupBy("fixture_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "fixture_id"]), "source_match_id").alias("m")).select("fixture_id", "m.*")
+
+
+def fixture_rows(matches: DataFrame) -> DataFrame:
+    return _keyed(matches).select("fixture_id", "season", "match_date", "home_team_id", "away_team_id", "source_match_id")
+
+
+def result_rows(matches: DataFrame) -> DataFrame:
+    return _keyed(matches).dropna(subset=["home_score", "away_score"]).select("fixture_id", "home_score", "away_score")

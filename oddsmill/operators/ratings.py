@@ -14,22 +14,26 @@ from oddsmill.operators.form import team_matches
 POINTS_PER_TRY = 5.2
 
 
-def tries(results: DataFrame, season: int, points_per_try: float = POINTS_PER_TRY) -> DataFrame:
-    rows = team_matches(results.filter(F.col("season") == season))
-    return rows.select("fixture_id", F.col("team_id").cast("string").alias("team"), F.col("opponent_id").cast("string").alias("opponent"), F.col("is_home").cast("double").alias("is_home"), (F.col("points_for") / points_per_try).alias("tries"))
+def tries(results: DataFrame, season: int | None = None, points_per_try: float = POINTS_PER_TRY) -> DataFrame:
+    """Team rows with tries, of one season or of all."""
+    rows = team_matches(results if season is None else results.filter(F.col("season") == season))
+    return rows.select("fixture_id", F.col("season").cast("string").alias("season"), F.col("team_id").cast("string").alias("team"), F.col("opponent_id").cast("string").alias("opponent"), F.col("is_home").cast("double").alias("is_home"), (F.col("points_for") / points_per_try).alias("tries"))
 
 
 def fit(rows: DataFrame) -> PipelineModel:
-    """tries ~ home + team + opponent, Poisson with log link; an unknown team is an error."""
-    index = StringIndexer(inputCols=["team", "opponent"], outputCols=["team_i", "opponent_i"], handleInvalid="error", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=["team_i", "opponent_i"], outputCols=["team_v", "opponent_v"])
-    gather = VectorAssembler(inputCols=["is_home", "team_v", "opponent_v"], outputCol="features")
+    """tries ~ home + team + opponent (+ season, if there are several), Poisson with log link; an unknown team is an error."""
+    kinds = ["team", "opponent"]
+    if rows.select("season").distinct().limit(2).count() > 1:
+        kinds.append("season")
+    index = StringIndexer(inputCols=kinds, outputCols=[f"{k}_i" for k in kinds], handleInvalid="error", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"{k}_i" for k in kinds], outputCols=[f"{k}_v" for k in kinds])
+    gather = VectorAssembler(inputCols=["is_home", *[f"{k}_v" for k in kinds]], outputCol="features")
     glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="tries", featuresCol="features", predictionCol="expected_tries", maxIter=50, tol=1e-9)
     return Pipeline(stages=[index, hot, gather, glm]).fit(rows)
 
 
 def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("fixture_id", "team", "opponent", "is_home", "tries", "expected_tries")
+    return model.transform(rows).select("fixture_id", "season", "team", "opponent", "is_home", "tries", "expected_tries")
 
 
 def match_chances(means: DataFrame, keys: list[str], home: str, away: str, most: int = 16) -> DataFrame:

@@ -93,15 +93,22 @@ def with_grid(rows: DataFrame, points: list[tuple[int, float, float, float]]) ->
     return rows.withColumn("_g", F.explode(values)).select(*rows.columns, "_g.*")
 
 
-def curve_grid(rows: DataFrame, points: list[tuple[int, float, float, float]]) -> DataFrame:
-    """Errors of team scores re-priced with the curve of each point; rows: observed, expected (with raw multipliers), attack, opponent_defence."""
-    wide = with_grid(rows.select("observed", "expected", "attack", "opponent_defence"), points)
+def repriced(rows: DataFrame, cap_start: Column | float = 0.75, max_edit: Column | float = 0.40, rate: Column | float = 0.80) -> DataFrame:
+    """Add ``predicted``: team scores (expected, attack, opponent_defence) with curved multipliers in place of their own."""
 
     def ratio(c: str) -> Column:
-        return F.try_divide(capped_curve(F.col(c), F.col("cap_start"), F.col("max_edit"), F.col("rate")), F.col(c))
+        return F.try_divide(capped_curve(F.col(c), cap_start, max_edit, rate), F.col(c))
+
+    return rows.withColumn("predicted", F.col("expected") * ratio("attack") * ratio("opponent_defence"))
 
-    priced = wide.withColumn("predicted", F.col("expected") * ratio("attack") * ratio("opponent_defence"))
-    return priced.groupBy("point", "cap_start", "max_edit", "rate").agg(*_metrics())
+
+def curve_grid(rows: DataFrame, points: list[tuple[int, float, float, float]]) -> DataFrame:
+    """Errors of team scores re-priced with the curve of each point, and their change against ``expected`` itself; rows: observed, expected, attack, opponent_defence."""
+    slim = rows.select("observed", "expected", "attack", "opponent_defence")
+    table = repriced(with_grid(slim, points), F.col("cap_start"), F.col("max_edit"), F.col("rate")).groupBy("point", "cap_start", "max_edit", "rate").agg(*_metrics())
+    base = slim.agg(F.avg(F.abs(F.col("expected") - F.col("observed"))).alias("base"))  # one row
+    change = F.col("mae") - F.col("base")
+    return table.crossJoin(F.broadcast(base)).withColumns({"mae_change": change, "mae_change_percent": F.try_divide(change * 100, F.col("base"))}).drop("base")
 
 
 def score_metrics(rows: DataFrame) -> DataFrame:
@@ -118,5 +125,17 @@ def with_multipliers(fixtures: DataFrame, strength: DataFrame) -> DataFrame:
 
 
 def best_point(table: DataFrame) -> DataFrame:
-    """The grid point with the least error: by mae, then mse, then absolute bias."""
-    return table.orderBy("mae", F.col("rmse") * F.col("rmse"), F.abs("bias"), "point").limit(1)
+    """The grid point with the least error: by mae, then mse, then absolute bias. Points of one curve tie but for rounding."""
+    return table.orderBy(F.round("mae", 9), F.round(F.col("rmse") * F.col("rmse"), 9), F.round(F.abs("bias"), 9), "point").limit(1)
+
+
+def best_curve(rows: DataFrame, points: list[tuple[int, float, float, float]]) -> DataFrame:
+    """Home, away and all team scores as they are and with the best curve of a grid, side by side."""
+    best = best_point(curve_grid(rows, points)).select("point", "cap_start", "max_edit", "rate")  # one row
+    curved = score_metrics(repriced(rows.crossJoin(F.broadcast(best)), F.col("cap_start"), F.col("max_edit"), F.col("rate")))
+    base = score_metrics(rows.withColumn("predicted", F.col("expected")))
+    names = ["bias", "mae", "rmse", "correlation"]
+    both = base.select("sample", "n", *[F.col(c).alias(f"base_{c}") for c in names]).join(curved.select("sample", *[F.col(c).alias(f"curved_{c}") for c in names]), "sample")
+    return both.withColumns({f"{c}_change": F.col(f"curved_{c}") - F.col(f"base_{c}") for c in names}).crossJoin(F.broadcast(best))
+
+

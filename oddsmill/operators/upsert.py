@@ -66,3 +66,9 @@ def write_matrix(cells: DataFrame, path: str, version: str, as_of: str, weights:
     config = F.to_json(F.array(*[F.struct(F.lit(int(a)).alias("max_age"), F.lit(float(w)).alias("weight")) for a, w in weights]))
     about = cells.agg(F.count("*").alias("cells")).select(F.lit(version).alias("matrix_version"), F.lit(as_of).cast("date").alias("as_of_date"), "cells", config.alias("weight_config"))
     written(about, "about")
+
+
+def load_parquet(target: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """``target`` after the upsert of a Parquet batch; a key that occurs on several rows counts once."""
+    batch = target.sparkSession.read.parquet(path).withColumn("batch_seq", F.lit(1))
+    return upsert(target, batch, keys, "batch_seq")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,15 @@ def first_column(df: DataFrame, candidates: list[str]) -> str:
 def canonical(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """Rename whichever accepted name occurs to the canonical one."""
     return df.withColumnsRenamed({first_column(df, accepted): name for name, accepted in names.items()})
+
+
+def first_table(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """The first of several Parquet tables that exists and has the columns."""
+    for path in paths:
+        try:
+            found = spark.read.parquet(path)
+        except AnalysisException:
+            continue
+        if set(columns) <= set(found.columns):
+            return found
+    raise ValueError(f"none of {paths} has {columns}")

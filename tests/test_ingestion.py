@@ -82,7 +82,7 @@ def test_schemas_parse(spark):
 
 def test_bootstrap_is_near_the_mean_and_repeats(spark):
     rows = spark.range(400).selectExpr("cast(id as string) fixture_id", "explode(array(0, 70)) weight", "id % 7 base").selectExpr("fixture_id", "weight", "base + weight / 100.0D x")
-    a, b = (backtest.bootstrap(rows, "x", 70, samples=300).first() for _ in range(2))
+    a, b = (backtest.bootstrap(rows, ("x",), (70,), samples=300).first() for _ in range(2))
     assert a == b and a["mean"] == pytest.approx(0.7) and a["low"] <= 0.7 + 1e-9 <= a["high"] + 1e-8
 
 
