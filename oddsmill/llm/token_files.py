@@ -10,9 +10,8 @@ touching the other pages.
 
 Encoding goes by units: a place between a visible character and a single space
 that precedes another visible character always starts a new pre-token, so a text
-can be cut there, units into words and symbols in turn, and every distinct word is
-encoded by the library once while it is remembered.  Texts with other arrangements
-of white space are encoded whole.
+can be cut there and every distinct unit is encoded by the library once.  Texts
+with other arrangements of white space are encoded whole.
 
 Edge cases: a null text is empty and holds the end id alone; repeated rows follow
 each other; an empty table writes no ids; other columns are ignored.
@@ -38,10 +37,9 @@ SCHEMA = "file_no int, doc_id long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 FILE_BYTES = 64 << 20
-UNITS_KEPT = 300_000  # words of each of two generations
+UNITS_KEPT = 500_000  # of each of two generations
 JOINED = 2000  # new units that are encoded together
-SLICE = 4 << 20
-SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+SLICE = 8 << 20
 
 
 class UnitEncoder:
@@ -54,13 +52,12 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept = kept
-        # Two generations of words after a space or line feed; the older one is forgotten when the younger is full.
+        # Two generations of units that follow a space; the older one is forgotten when the younger is full.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tails = {"": b""}
         names = self.tokenizer.get_vocab()
-        self.leads = np.zeros(max(names.values()) + 1, bool)
-        self.leads[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True  # a space, a line feed
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
 
     def _ids(self, strings: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -91,58 +88,27 @@ class UnitEncoder:
         """Ids of units that follow a space; none for one whose text must be encoded whole."""
         if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
-        if len(self.tails) > self.kept:
-            self.tails = {"": b""}
-        known = [self.young.get(" " + u) for u in units]
-        fresh: dict[str, None] = {}
-        composed = []
+        known = list(map(self.young.get, units))
+        fresh = []
         for k, ids in enumerate(known):
             if ids is None:
-                words = _words(units[k])
-                for word, _ in words:
-                    if word not in self.young:
-                        if (ids := self.old.get(word)) is None:
-                            fresh[word] = None
-                        else:
-                            self.young[word] = ids
-                composed.append((k, words))
-        self._learn(list(fresh))
-        self._tails({tail for _, words in composed for _, tail in words if tail not in self.tails})
-        for k, words in composed:
-            known[k] = b"".join([self.young[word] + self.tails[tail] for word, tail in words])
-        return known
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), JOINED):
-            some = words[k : k + JOINED]
-            # Each word begins with white space and a token, and holds no other white space of that kind.
-            ids = self._ids(["".join(some)])[0]
-            cuts = np.flatnonzero(self.leads[ids]) * 4
-            if len(cuts) != len(some):
-                raise ValueError("a token holds white space that does not begin it")
+                u = units[k]
+                ids = self.old.get(u)
+                if ids is None and u and not u[0].isspace() and not u[-1].isspace():
+                    fresh.append(k)
+                else:
+                    known[k] = self.young[u] = ids or b""
+        for at in range(0, len(fresh), JOINED):
+            places = fresh[at : at + JOINED]
+            # Every space begins a pre-token, so a unit's ids begin at a token that begins with one.
+            ids = self._ids(["".join(" " + units[k] for k in places)])[0]
+            cuts = np.flatnonzero(self.spaced[ids]) * 4
+            if len(cuts) != len(places):
+                raise ValueError("a token holds a space that does not begin it")
             data, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
-            for word, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.young[word] = data[a:b]
-
-    def _tails(self, tails: set[str]) -> None:
-        tails = list(tails)
-        self.tails.update(zip(tails, [i.tobytes() for i in self._ids(tails)], strict=True))
-
-
-def _words(unit: str) -> list[tuple[str, str]]:
-    """A unit that follows a space as (white space and word, symbols after it); empty if it is not plain.
-
-    Besides the single spaces around a unit, a line feed between visible characters and
-    the place between a letter or digit and a symbol always part pre-tokens.
-    """
-    out, lead = [], " "
-    for piece in unit.split("\n"):
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return []
-        word = piece.rstrip(SYMBOLS)
-        out.append((lead + word, piece[len(word) :]) if word and word[-1].isalnum() else (lead + piece, ""))
-        lead = "\n"
-    return out
+            for k, a, b in zip(places, cuts, cuts[1:], strict=False):
+                known[k] = self.young[units[k]] = data[a:b]
+        return known
 
 
 @lru_cache(2)
