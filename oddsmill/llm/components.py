@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from oddsmill.llm.common import materialise, replaced
 
 
-def _digest(edges: DataFrame):
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether ``edges`` are stars: each ``u`` has one ``v``, and no ``v`` is a ``u`` of another edge."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0)))).first()[0] == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,13 +39,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its least node) for every node of ``edges`` (u, v)."""
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    last = _digest(edges)
-    while last[0]:
+    # Stars are the fixed point: to look for them spares the round that would change nothing.
+    while not _settled(edges):
         edges = replaced(_large_star(edges).filter("u <> v").distinct(), "edges", edges)
         edges = replaced(_small_star(edges).filter("u <> v").distinct(), "edges", edges)
-        now = _digest(edges)
-        if now == last:
-            break
-        last = now
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

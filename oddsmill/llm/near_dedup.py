@@ -100,8 +100,8 @@ def _confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similar: int
     short = signs.select("doc_id", "short")
     fit = fit.join(short.withColumnsRenamed({"doc_id": "a", "short": "sa"}), "a").join(short.withColumnsRenamed({"doc_id": "b", "short": "sb"}), "b")
     likely = materialise(fit.filter(_agreement("sa", "sb") >= AGREE).select(*pairs.columns), "likely")
-    ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "likely-ids")
-    sets = materialise(_sets(maybe_in(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "likely-sets")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = materialise(_sets(maybe_in(docs, ids).join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "likely-sets")
     both = likely.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "xb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a")
     shared = F.size(F.array_intersect("xa", "xb")).cast("long")
     return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * similar).select("a", "b", "ca", "cb")
@@ -164,11 +164,21 @@ def _crowd_links(docs: DataFrame, rows: DataFrame, similar: int, size: int, bloc
     return rows.groupBy("crowd", "i", "j").applyInPandas(_block_links(similar), "a long, b long, ca long, cb long")
 
 
-def _placed(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` (key, doc_id, n, members, c) after the links (ca, cb) between components."""
+def _moved(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) of linked nodes, after further links (ca, cb) between components."""
     moved = components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
-    joined = placed.join(moved, placed["c"] == moved["node"], "left")
-    return replaced(joined.select("key", "doc_id", "n", "members", F.coalesce("component", "c").alias("c")), "placed", placed)
+    if known is None:
+        return materialise(moved, "components")
+    to = materialise(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "moved")
+    old = known.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = to.select(F.col("component").alias("node"), F.col("to").alias("component")).join(known, "node", "left_anti")
+    return replaced(old.unionByName(new), "components", known)
+
+
+def _placed(still: DataFrame, known: DataFrame) -> DataFrame:
+    """``still`` (key, doc_id, n, members, c) in the components that are ``known`` now."""
+    joined = still.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return materialise(joined.select("key", "doc_id", "n", "members", F.coalesce("component", "doc_id").alias("c")), "placed")
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -194,7 +204,7 @@ def _across(still: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int = SIMILAR, size: int = SIZE, small: int = SMALL, turns: int = TURNS, block: int = BLOCK) -> DataFrame:
-    """``node, component`` of the class representatives that share a bucket with others.
+    """``node, component`` of the class representatives that are linked with others.
 
     ``classes``: doc_id, rep.  Components are those of all links between classes.
     """
@@ -202,18 +212,20 @@ def linked(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int =
     rows = materialise(reps.select("doc_id", "n", F.explode("keys").alias("key")), "bands")
     buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
     placed = materialise(rows.join(buckets, "key").select("key", "doc_id", "n", "members", F.col("doc_id").alias("c")), "shared")
+    none = placed.select(F.col("doc_id").alias("node"), F.col("c").alias("component")).limit(0)
     if placed.isEmpty():
-        return placed.select(F.col("doc_id").alias("node"), F.col("c").alias("component"))
+        return none
     docs = docs.select("doc_id", "text")
-    still, tried = placed, None
+    still, tried, known = placed, None, None
     for turn in range(turns):
         pairs = materialise(_stars(still, turn), "stars")
         found = materialise(_confirmed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), signs, docs, similar, size), "links")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         links, asked = found.count(), still.select("doc_id").distinct().count()
         if links:
-            placed = _placed(placed, found)
-            still = _open(placed)
+            # Buckets that have become one component stay so: only the open ones are carried on.
+            known = _moved(known, found)
+            still = _open(_placed(still, known))
         if links * 50 < asked:
             break
     few = still.filter(F.col("members") <= small)
@@ -222,8 +234,10 @@ def linked(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int =
     many = materialise(still.filter(F.col("members") > small).select("key", "doc_id", "n", "c"), "crowded")
     if not many.isEmpty():
         found = found.unionByName(_crowd_links(docs, many, similar, size, block))
-    placed = _placed(placed, materialise(found, "links"))
-    return placed.select(F.col("doc_id").alias("node"), F.col("c").alias("component")).distinct()
+    found = materialise(found, "links")
+    if not found.isEmpty():
+        known = _moved(known, found)
+    return none if known is None else known
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
