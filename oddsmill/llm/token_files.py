@@ -116,7 +116,7 @@ def unit_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of about ``SLICE`` bytes of a text column."""
     at, size = 0, 0
     for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
@@ -134,7 +134,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int, files: int) -> DataFrame
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(path)
         for batch in batches:
-            for part in _slices(batch, 2):
+            for part in slices(batch, 2):
                 values, ends = encoder.encode(part.column(2), end_id)
                 ends = np.concatenate([[0], ends]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32, copy=False)))
