@@ -32,10 +32,13 @@ def historical(results: DataFrame, as_of: str, keys: list[str] | None = None, ma
     return normalised(cells, keys or [])
 
 
+def log_factorials(most: int) -> list[float]:
+    return np.cumsum([0.0] + [np.log(k) for k in range(1, most + 1)]).tolist()
+
+
 def score_numbers(spark, max_score: int) -> DataFrame:
     """``k, log_factorial`` for 0 to ``max_score``."""
-    logs = np.cumsum([0.0] + [np.log(k) for k in range(1, max_score + 1)]).tolist()
-    return spark.createDataFrame(list(enumerate(logs)), "k int, log_factorial double")
+    return spark.createDataFrame(list(enumerate(log_factorials(max_score))), "k int, log_factorial double")
 
 
 def poisson(rows: DataFrame, mean: str, max_score: int = 100, tail: str = "renormalise") -> DataFrame:

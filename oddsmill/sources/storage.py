@@ -22,8 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._oddsmill_work
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: cuts the lineage and outlives executors."""
+def written(df: DataFrame, name: str, before: DataFrame | None = None) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: cuts the lineage and outlives executors.
+
+    ``before`` is a written table that ``df`` took the place of: it is deleted once ``df`` is there.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if before is not None:
+        discard(before)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` made and no plan reads any more."""
+    spark, path = table.sparkSession, getattr(table, "_written_at", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
