@@ -657,11 +657,7 @@ def _evaluated(spark, sf):
 
 
 def _history_events(spark, sf, asked):
-    cells = backtest.walk_forward(td.results(spark, sf), asked.select(F.col("as_of").alias("match_date")))
-    floors = cells.select("as_of", "elsewhere").distinct()  # one row a date
-    own = asked.select("as_of", "fixture_id", "ah", "aa", "total_line", "margin_line").join(F.broadcast(floors), "as_of")
-    above = cells.withColumn("p", F.col("p") - F.col("elsewhere")).drop("elsewhere")
-    return backtest.with_floor(backtest.events(above, own, ["as_of"], "hist"), "hist")
+    return backtest.history_events(td.results(spark, sf), asked, "hist")
 
 
 @query("k4_walk_forward", sql(f"SELECT fixture_id, {r('h', 'p_home')}, {r('d', 'p_draw')}, {r('o', 'p_over')}, {r('c', 'p_cover')} FROM evh", "evh"))
@@ -677,12 +673,12 @@ def _(spark, sf):
     return backtest.losses(named).agg(F.count("*").alias("fixtures"), *[F.avg(c).alias(c) for c in ("result_loss", "result_brier", "handicap_loss", "total_loss")])
 
 
+def _both_models(spark, sf):
+    return backtest.poisson_events(_history_events(spark, sf, _evaluated(spark, sf)), "expected_home", "expected_away", "poisson")
+
+
 def _swept(spark, sf):
-    asked = _evaluated(spark, sf)
-    poisson = distributions.poisson_cells(asked, ["fixture_id"], "expected_home", "expected_away", 80, "fold")
-    own = ["fixture_id", "ah", "aa", "total_line", "margin_line"]
-    both = backtest.events(poisson, asked.select(*own), ["fixture_id"], "poisson").join(_history_events(spark, sf, asked).drop("as_of", "ah", "aa", "total_line", "margin_line"), "fixture_id")
-    return backtest.losses(backtest.sweep(both, "poisson", "hist"))
+    return backtest.losses(backtest.sweep(_both_models(spark, sf), "poisson", "hist"))
 
 
 #: Metrics and their names in the view ls.
@@ -708,10 +704,11 @@ def _(spark, sf):
 _DIFFERENCES = {(m, w): f"d_{m}_{w}" for m in backtest.METRICS for w in backtest.COMPARED}
 CTES |= {
     "dw": "SELECT fixture_id, " + ", ".join(f"max(CASE WHEN weight = {w} THEN {_MEANS[m]} END) - max(CASE WHEN weight = 0 THEN {_MEANS[m]} END) {c}" for (m, w), c in _DIFFERENCES.items()) + " FROM ls GROUP BY fixture_id",
-    "dr": f"SELECT fixture_id, rep, {' + '.join(f'(u >= {c})::INT' for c in backtest.DRAWS)} n FROM (SELECT fixture_id, rep, ('0x' || substr(md5(concat_ws('|', fixture_id, rep, 42)), 1, 10))::BIGINT / 1099511627776::DOUBLE u FROM ev, range(1, 2001) t(rep))",
+    "dx": "SELECT fixture_id, rep, (('0x' || substr(md5(concat_ws('|', fixture_id, 42)), 1, 8))::BIGINT % 2147483647 + rep * (('0x' || substr(md5(concat_ws('|', fixture_id, 42)), 9, 8))::BIGINT % 2147483647)) % 2147483647 x FROM ev, range(1, 2001) t(rep)",
+    "dr": f"SELECT fixture_id, rep, {' + '.join(f'(u >= {c})::INT' for c in backtest.DRAWS)} n FROM (SELECT fixture_id, rep, ((x * x % 2147483647) * (x * x % 2147483647) % 2147483647) * x % 2147483647 / 2147483647::DOUBLE u FROM dx)",
     "bm": "SELECT rep, " + ", ".join(f"sum(n * {c}) / sum(n) {c}" for c in _DIFFERENCES.values()) + " FROM dr JOIN dw USING (fixture_id) GROUP BY rep",
 }
-_TD_BASE |= {"dw": ["ls"], "dr": ["ev"], "bm": ["dw", "dr"]}
+_TD_BASE |= {"dw": ["ls"], "dx": ["ev"], "dr": ["dx"], "bm": ["dw", "dr"]}
 
 
 @query("k10_bootstrap", sql(" UNION ALL ".join(f"SELECT {w} AS weight, '{m}' AS metric, {r(f'avg({c})', 'mean')}, {r(f'quantile_cont({c}, 0.025)', 'low')}, {r(f'quantile_cont({c}, 0.975)', 'high')}, {r(f'avg(({c} < 0)::INT)', 'share_better')} FROM bm" for (m, w), c in _DIFFERENCES.items()), "bm"))
@@ -947,17 +944,12 @@ def _(spark, sf):
 
 @query("k9_season_weights", sql(_best("season,"), "ls"))
 def _(spark, sf):
-    rows = _swept(spark, sf).join(_evaluated(spark, sf).select("fixture_id", F.year("as_of").alias("season")), "fixture_id")
-    return backtest.best(backtest.summary(rows, ["season", "weight"]), ["season"])
+    return backtest.best(backtest.summary(_swept(spark, sf), ["season", "weight"]), ["season"])
 
 
 @query("k11_model_comparison", sql("SELECT fixture_id, CASE weight WHEN 0 THEN 'poisson' WHEN 100 THEN 'history' ELSE 'blend' END AS model, " + r("s", "p_score") + ", " + ", ".join(r(f"1 / {c}", f"price_{n}", 4) for n, c in (("home", "h"), ("draw", "d"), ("away", "a"))) + ", " + r("hm", "home_mean") + ", " + r("am", "away_mean") + " FROM sw WHERE weight IN (0, 20, 100)", "sw"))
 def _(spark, sf):
-    asked = _evaluated(spark, sf)
-    own = ["fixture_id", "ah", "aa", "total_line", "margin_line"]
-    poisson = distributions.poisson_cells(asked, ["fixture_id"], "expected_home", "expected_away", 80, "fold")
-    both = backtest.events(poisson, asked.select(*own), ["fixture_id"], "poisson").join(_history_events(spark, sf, asked).drop("as_of", *own[1:]), "fixture_id")
-    return backtest.model_comparison(both).withColumns({f"price_{c}": F.round(f"price_{c}", 4) for c in ("home", "draw", "away")})
+    return backtest.model_comparison(_both_models(spark, sf)).withColumns({f"price_{c}": F.round(f"price_{c}", 4) for c in ("home", "draw", "away")})
 
 
 @query("k12_final_weights", sql(f"SELECT weight, {_SUMMARY} FROM ls WHERE weight IN (0, 70, 80, 100) GROUP BY weight", "ls"))
