@@ -83,9 +83,8 @@ def walk_forward(history: DataFrame, dates: DataFrame, max_score: int = 80, smoo
     """
     counts = _clipped_history(history, max_score)
     first = counts.groupBy("home_score", "away_score").agg(F.min("match_date").alias("first"))
-    # One list of the asked dates meets the cells by an equal constant: at most a grid of cells, and a matrix a date is the result.
-    days = dates.select(F.col("match_date").alias("as_of")).distinct().agg(F.collect_set("as_of").alias("days"), F.lit(1).alias("one"))
-    asked = first.withColumn("one", F.lit(1)).join(F.broadcast(days), "one").select("home_score", "away_score", F.explode(F.filter("days", lambda d: d > F.col("first"))).alias("as_of"))
+    days = dates.agg(F.collect_set("match_date").alias("days"))  # one row
+    asked = first.crossJoin(F.broadcast(days)).select("home_score", "away_score", F.explode(F.filter("days", lambda d: d > F.col("first"))).alias("as_of"))
     rows = decayed_sums(counts, asked, ["home_score", "away_score"])
     by_date = Window.partitionBy("as_of")  # at most a grid of cells
     rows = rows.withColumns({"mass": F.sum("w").over(by_date) + (max_score + 1) ** 2 * smoothing, "matches": F.sum("n").over(by_date)}).filter(F.col("matches") >= least)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions.rating import capped_curve
 
+#: About a usual score; sums of squares are of differences from it.
+CENTRE = 25.0
 METHODS = ("raw", "capped", "shrunk", "winsor", "huber")
 
 
@@ -87,12 +92,6 @@ def grid(cap_start: list[float], max_edit: list[float], rate: list[float]) -> li
     return [(k, *p) for k, p in enumerate(product(cap_start, max_edit, rate))]
 
 
-def with_grid(rows: DataFrame, points: list[tuple[int, float, float, float]]) -> DataFrame:
-    """Each row for every parameter point, by an array in the plan: no join."""
-    values = F.array(*[F.struct(F.lit(k).alias("point"), F.lit(c).alias("cap_start"), F.lit(e).alias("max_edit"), F.lit(r).alias("rate")) for k, c, e, r in points])
-    return rows.withColumn("_g", F.explode(values)).select(*rows.columns, "_g.*")
-
-
 def repriced(rows: DataFrame, cap_start: Column | float = 0.75, max_edit: Column | float = 0.40, rate: Column | float = 0.80) -> DataFrame:
     """Add ``predicted``: team scores (expected, attack, opponent_defence) with curved multipliers in place of their own."""
 
@@ -102,11 +101,57 @@ def repriced(rows: DataFrame, cap_start: Column | float = 0.75, max_edit: Column
     return rows.withColumn("predicted", F.col("expected") * ratio("attack") * ratio("opponent_defence"))
 
 
+MOMENTS = ("n", "p", "o", "e", "abs_e", "ee", "pp", "oo", "po")
+
+
+def grid_moments(rows: DataFrame, points: list[tuple[int, float, float, float]]) -> DataFrame:
+    """``point`` and sums over ``rows`` (observed, expected, attack, opponent_defence) of what errors are made of.
+
+    A task adds its rows batch by batch to one matrix of points by moments, so that a row a
+    task and point leaves it and no row is repeated for every point.  Scores are
+    taken as differences from ``CENTRE``, so that their squares do not swallow the spread.
+    A row with a missing value or a multiplier of 0 counts at no point.
+    """
+    caps, edits, rates = (np.array([p[k] for p in points]) for k in (1, 2, 3))
+    columns = ["observed", "expected", "attack", "opponent_defence"]
+
+    def curve(x: np.ndarray) -> np.ndarray:
+        edit = (x[:, None] - 1.0) * rates
+        reach = np.minimum(np.abs(edit) / caps, 1.0)
+        return 1.0 + np.sign(edit) * edits * (2.0 * reach - reach * reach)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(points), len(MOMENTS)))
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                o, e, attack, defence = batch.iloc[at : at + 2000][columns].to_numpy(float).T
+                sound = (attack != 0) & (defence != 0) & ~np.isnan(o + e + attack + defence)
+                o, e, attack, defence = o[sound], e[sound], attack[sound], defence[sound]
+                p = (e / (attack * defence))[:, None] * curve(attack) * curve(defence)
+                error, spread = p - o[:, None], p - CENTRE
+                own = o - CENTRE
+                sums = [np.full(len(points), float(len(o))), spread.sum(axis=0), np.full(len(points), own.sum()), error.sum(axis=0), np.abs(error).sum(axis=0)]
+                squares = [(error * error).sum(axis=0), (spread * spread).sum(axis=0), np.full(len(points), own @ own), own @ spread]
+                total += np.column_stack(sums + squares)
+        yield pd.DataFrame({"point": [p[0] for p in points], **dict(zip(MOMENTS, total.T, strict=True))})
+
+    tasks = rows.select(*columns).mapInPandas(added, "point int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    return tasks.groupBy("point").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
 def curve_grid(rows: DataFrame, points: list[tuple[int, float, float, float]]) -> DataFrame:
     """Errors of team scores re-priced with the curve of each point, and their change against ``expected`` itself; rows: observed, expected, attack, opponent_defence."""
-    slim = rows.select("observed", "expected", "attack", "opponent_defence")
-    table = repriced(with_grid(slim, points), F.col("cap_start"), F.col("max_edit"), F.col("rate")).groupBy("point", "cap_start", "max_edit", "rate").agg(*_metrics())
-    base = slim.agg(F.avg(F.abs(F.col("expected") - F.col("observed"))).alias("base"))  # one row
+    m = {c: F.col(c) for c in MOMENTS}
+    n = m["n"]
+    cross, pp, oo = m["po"] - m["p"] * m["o"] / n, m["pp"] - m["p"] * m["p"] / n, m["oo"] - m["o"] * m["o"] / n
+    metrics = {
+        "n": n.cast("long"), "mean_predicted": CENTRE + m["p"] / n, "mean_observed": CENTRE + m["o"] / n, "bias": m["e"] / n, "mae": m["abs_e"] / n, "rmse": F.sqrt(m["ee"] / n),
+        "correlation": F.try_divide(cross, F.sqrt(F.greatest(pp, F.lit(0.0)) * F.greatest(oo, F.lit(0.0)))),
+    }
+    # One row a point, and one row of the scores as they are.
+    known = rows.sparkSession.createDataFrame(points, "point int, cap_start double, max_edit double, rate double")
+    table = grid_moments(rows, points).filter("n > 0").join(F.broadcast(known), "point").select("point", "cap_start", "max_edit", "rate", *[x.alias(c) for c, x in metrics.items()])
+    base = rows.agg(F.avg(F.abs(F.col("expected") - F.col("observed"))).alias("base"))
     change = F.col("mae") - F.col("base")
     return table.crossJoin(F.broadcast(base)).withColumns({"mae_change": change, "mae_change_percent": F.try_divide(change * 100, F.col("base"))}).drop("base")
 
