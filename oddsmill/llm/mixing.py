@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.llm.common import materialise, replaced, row_id, unused
@@ -34,9 +34,14 @@ TOLERANCE = 1e-9
 BUCKETS = 64
 
 
+def word_count() -> Column:
+    """The words of ``text``."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size``: the words of each text."""
-    return docs.select(row_id().alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    return docs.select(row_id().alias("doc_id"), "source", word_count().alias("size"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -147,14 +152,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, ste
 
 
 def repeated_by_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The rows of ``docs``, in all their columns, each as often as the mix takes it."""
-    share = F.struct("source", "size", (-F.col("copies")).alias("less"))
-    # As many shares as rows have the doc_id: one, but for repeated rows.
-    shares = mix(docs, weights, cap).groupBy("doc_id").agg(F.array_sort(F.collect_list(share)).alias("shares"))
-    key, given, nth = (unused(docs, n) for n in ("_id", "_shares", "_nth"))
-    shares = shares.filter(F.exists("shares", lambda x: x["less"] < 0)).select(F.col("doc_id").alias(key), F.col("shares").alias(given))
-    rows = docs.withColumn(key, row_id()).join(shares, key)
-    own = F.row_number().over(Window.partitionBy(key).orderBy(F.col("source").asc_nulls_first()))
-    copies = -F.element_at(given, F.col(nth))["less"]
-    rows = rows.withColumn(nth, own).filter(copies > 0)
-    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    """The rows of ``docs``, in all their columns, each as often as the mix takes it.
+
+    A row is found again by ``doc_id``, source and size.  Rows that agree in these are taken
+    alike but for one copy more of some; which of them does not matter to the mix, so those
+    whose texts have the smaller hashes get it.
+    """
+    key, origin, words, least, more, nth = (unused(docs, n) for n in ("_id", "_source", "_words", "_least", "_more", "_nth"))
+    mixed = mix(docs, weights, cap).groupBy("doc_id", "source", "size", "copies").agg(F.count("*").alias("n"))
+    shares = mixed.groupBy(F.col("doc_id").alias(key), F.col("source").alias(origin), F.col("size").alias(words)).agg(F.min("copies").alias(least), F.max(F.struct("copies", "n")).alias(more))
+    rows = docs.withColumn(key, row_id()).withColumn(words, word_count())
+    both = rows.join(shares, (rows[key] == shares[key]) & rows["source"].eqNullSafe(shares[origin]) & (rows[words] == shares[words]))
+    both = both.select(*[rows[c] for c in docs.columns], rows[key], rows[words], least, more)
+    own = F.row_number().over(Window.partitionBy(key, "source", words).orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
+    extra = (F.col(more)["copies"] > F.col(least)) & (F.col(nth) <= F.col(more)["n"])
+    copies = F.col(least) + F.when(extra, F.col(more)["copies"] - F.col(least)).otherwise(0)
+    rows = both.withColumn(nth, own).withColumn(nth, copies).filter(F.col(nth) > 0)
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(nth)))).select(*docs.columns)

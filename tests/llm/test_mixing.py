@@ -58,3 +58,26 @@ def test_repeated_rows_and_no_words(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
+
+
+def test_rates_solve_the_dual(spark):
+    """Copies against the rates of a plain solver: bisection on each source's multiplier."""
+    import math
+
+    rows = [(k, "ab"[k % 2], " w" * (1 + (k * 29) % 60)) for k in range(400)]
+    got = mixed(spark, rows)
+    for source in "ab":
+        own = [r for r in got.values() if r.source == source]
+        target, mean = own[0].target, sum(r.size for r in own) / len(own)
+        total = lambda lam: sum(r.size * min(3.0, math.exp(min(lam * r.size / mean, 10))) for r in own)  # noqa: B023, E731
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if total(mid) < target else (low, mid)
+        by_size = {}
+        for r in own:
+            by_size.setdefault(r.size, []).append(r.copies)
+        # Whole copies of a size are within one of the size's tilted share, and a carry of less than one more.
+        for size, copies in by_size.items():
+            share = len(copies) * min(3.0, math.exp(min(low * size / mean, 10)))
+            assert abs(sum(copies) - share) <= 1 + 60 / size, (size, copies, share)

@@ -70,6 +70,14 @@ def test_mixing_stage_keeps_the_shares_of_repeated_rows(spark, folder):
     assert max(Counter((r.doc_id, r.text) for r in got).values()) <= 3
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_mixing_stage_takes_the_row_of_the_size(spark, folder, order):
+    rows = [row(5, ""), row(5, "a b c d"), row(6, "x y"), row(5, "p q r s t"), row(5, None)]
+    got = ran(spark, folder, "mixing to target weights", rows[::order])
+    # One source: every text with words is taken once, those without never.
+    assert Counter((r.doc_id, r.text) for r in got) == Counter({(5, "a b c d"): 1, (6, "x y"): 1, (5, "p q r s t"): 1})
+
+
 def test_quality_and_encoding_keep_rows(spark, folder):
     got = ran(spark, folder, "quality classifier", ROWS)
     assert len(got) == len(ROWS) and all(tuple(r)[5:] == TAIL for r in got)
