@@ -26,9 +26,17 @@ COMPARED = (70, 80, 100)
 
 
 def evaluation_set(rows: DataFrame) -> DataFrame:
-    """Numbers or nothing: rows whose scores or expectations are missing or no numbers go."""
+    """Numbers or nothing: rows whose scores or expectations are missing, no numbers or negative go."""
     kinds = {"home_score": "int", "away_score": "int", "expected_home": "double", "expected_away": "double"}
-    return rows.withColumns({c: F.col(c).cast("string").try_cast(k) for c, k in kinds.items()}).dropna(subset=list(kinds)).filter("home_score >= 0 AND away_score >= 0")
+    return rows.withColumns({c: F.col(c).cast("string").try_cast(k) for c, k in kinds.items()}).dropna(subset=list(kinds)).filter("least(home_score, away_score, expected_home, expected_away) >= 0")
+
+
+def joined_evaluation(results: DataFrame, expected: DataFrame, fixtures: DataFrame, teams: DataFrame) -> DataFrame:
+    """Actual and expected scores of fixtures whose teams are known, with both names: the table that ``evaluation_set`` cleans."""
+    name = lambda s: teams.select(F.col("team_id").alias(f"{s}_team_id"), F.col("canonical_name").alias(f"{s}_team"))
+    rows = fixtures.select("fixture_id", "season", "match_date", "home_team_id", "away_team_id")
+    rows = rows.join(results.select("fixture_id", "home_score", "away_score"), "fixture_id").join(expected.select("fixture_id", "expected_home", "expected_away"), "fixture_id")
+    return rows.join(name("home"), "home_team_id").join(name("away"), "away_team_id")
 
 
 def mean_absolute_errors(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions.rating import fixture_key
+from oddsmill.sources.tables import columns
 
 #: Source names that stand for an existing club.
 ALIASES = {"Leigh Centurions": "Leigh Leopards", "Salford City Reds": "Salford Red Devils", "Wakefield Trinity Wildcats": "Wakefield Trinity"}
@@ -91,8 +92,10 @@ def _keyed(matches: DataFrame) -> DataFrame:
 
 
 def fixture_rows(matches: DataFrame) -> DataFrame:
-    return _keyed(matches).select("fixture_id", "season", "match_date", "home_team_id", "away_team_id", "source_match_id")
+    """All matches as rows of the table of fixtures: scores are left out."""
+    return _keyed(matches).select(*columns("fixtures"))
 
 
 def result_rows(matches: DataFrame) -> DataFrame:
-    return _keyed(matches).dropna(subset=["home_score", "away_score"]).select("fixture_id", "home_score", "away_score")
+    """Played matches as rows of the table of results."""
+    return _keyed(matches).dropna(subset=["home_score", "away_score"]).select(*columns("results"))

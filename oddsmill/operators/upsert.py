@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns that an upsert may change, where not all.
+from oddsmill.sources.tables import KEYS, columns
+
+#: Columns that an upsert of a known key may change. Results keep season, date, teams and source name; the others change whatever is no key.
 UPDATED: dict[str, list[str]] = {
-    "results": ["home_source_name", "away_source_name", "home_score", "away_score", "attendance", "kick_off", "source_match_id"],
-    "players": ["player_name", "source", "source_player_id", "primary_position"],
-}
+    name: [c for c in columns(name) if c not in KEYS[name]] for name in ("tournament_source_mappings", "fixtures", "players", "teamsheets", "expected_score_predictions")
+} | {"results": ["kick_off", "home_score", "away_score", "referee", "venue", "attendance", "source_match_id"]}
 
 
 def last_of_batch(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -43,6 +44,11 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: str, upd
     return both.select(*out)
 
 
+def upsert_table(name: str, target: DataFrame, batch: DataFrame, order: str, now: str | None = None) -> DataFrame:
+    """``upsert`` into a declared table by its key and its list of columns; ``updated_at`` becomes ``now`` in all rows of the batch."""
+    return upsert(target, batch, KEYS[name], order, UPDATED[name], "updated_at" if "updated_at" in target.columns else None, now)
+
+
 def write_seasons(df: DataFrame, path: str) -> None:
     """Replace the seasons that ``df`` has and no others, in one job."""
     df.write.partitionBy("season").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

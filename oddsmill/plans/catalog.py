@@ -5,6 +5,7 @@ Doubles are rounded on both sides, as the engines add in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from oddsmill.functions import rating as fx
 from oddsmill.operators import backtest, distributions, expected, form, integrity, keys, lineups, markets, ratings, reports, residuals, season_log, strength, upsert
 from oddsmill.plans import rebuild
+from oddsmill.sources import tables
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import shared_dir, written
 
@@ -137,8 +139,6 @@ def _(spark, sf):
     from oddsmill.sources.tables import read_results_csv
 
     rows = td.table(spark, sf, "orders").selectExpr("o_orderkey AS `Unnamed: 0`", "year(o_orderdate) year", "cast(o_orderdate as date) date", "o_custkey home_team", "o_orderpriority away_team", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 50 END home_score", "o_custkey % 50 away_score")
-    import uuid
-
     path = f"{shared_dir(spark)}/results-csv-{uuid.uuid4().hex}"
     rows.write.option("header", True).csv(path)
     return read_results_csv(spark, path)
@@ -156,11 +156,49 @@ def _(spark, sf):
     return rows.select("event_id", fx.missing(F.col("value")).alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-@query("a7_results_upsert", sql("SELECT fixture_id, season, match_date, CASE WHEN season = 1998 THEN home_score + 1 ELSE home_score END AS home_score, away_score FROM results WHERE season <> 1999 UNION ALL SELECT fixture_id, season + 100, match_date, home_score + 1, away_score FROM results WHERE season = 1999", "results"))
+#: Every column of the tables that upserts go to, as SQL of both engines over a match: the value of the target and of the batch.
+_MATCH = {
+    "fixture_id": "fixture_id", "season": "season", "match_date": "match_date", "kick_off": "concat(CAST(source_match_id % 12 AS STRING), ':30')", "home_team_id": "home_team_id", "away_team_id": "away_team_id", "home_score": "home_score", "away_score": "away_score",
+    "referee": "concat('R', CAST(source_match_id % 7 AS STRING))", "venue": "concat('V', CAST(home_team_id AS STRING))", "attendance": "CAST(source_match_id % 9000 AS INTEGER)", "source_name": "'site'", "source_match_id": "CAST(source_match_id AS STRING)",
+    "tournament_id": "CAST(1 + season % 2 AS BIGINT)", "competition_stage_id": "CAST(source_match_id % 5 AS BIGINT)", "source_tournament_name": "concat('T', CAST(source_match_id AS STRING))",
+    "player_id": "concat('rlp_', CAST(source_match_id AS STRING))", "player_name": "concat('P', CAST(away_team_id AS STRING))", "team_id": "home_team_id", "primary_position": "'FB'", "active": "1", "source_player_id": "CAST(source_match_id AS STRING)",
+    "side": "'home'", "position": "'FB'", "lineup_order": "CAST(1 + source_match_id % 17 AS INTEGER)", "is_starting": "1", "source_url": "concat('/matches/', CAST(source_match_id AS STRING))",
+    "prediction_date": "match_date", "league_average": "home_score + 0.25", "home_factor": "1.25", "away_factor": "0.75", "home_attack": "1.5", "home_defence": "0.5", "away_attack": "1.125", "away_defence": "0.875", "expected_home": "home_score + 0.5", "expected_away": "away_score + 0.5",
+}
+_KINDS = {c.split()[0]: c.split()[1] for ddl in tables.SCHEMAS.values() for c in ddl.split(", ")}
+_CHANGED = {"string": "concat({0}, '!')", "int": "{0} + 1", "long": "{0} + 1000000", "double": "{0} + 1", "date": "DATE '1990-01-01'"}
+
+
+def _values(name: str, changed: bool) -> list[str]:
+    value = lambda c: _CHANGED[_KINDS[c]].format(_MATCH[c]) if changed and c not in tables.KEYS[name] else _MATCH[c]
+    return [f"CAST({value(c)} AS DOUBLE) {c}" if _KINDS[c] == "double" else f"{value(c)} {c}" for c in tables.columns(name)]
+
+
+def _variant(name: str) -> None:
+    """A query that upserts into one table every column changed, for known and for new keys, and its SQL."""
+    own, keys_, changing = tables.columns(name), tables.KEYS[name], upsert.UPDATED[name]
+    kept = [c if c in keys_ else f"CASE WHEN {'b' if c in changing else 't'}.{keys_[0]} IS NOT NULL THEN {'b' if c in changing else 't'}.{c} ELSE {'t' if c in changing else 'b'}.{c} END AS {c}" for c in own]
+    body = f"SELECT {', '.join(kept)} FROM (SELECT {', '.join(_values(name, False))} FROM matches WHERE source_match_id % 2 = 0) t FULL JOIN (SELECT {', '.join(_values(name, True))} FROM matches WHERE source_match_id % 3 = 0) b USING ({', '.join(keys_)})"
+
+    @query(f"a7_{name}_upsert", sql(body, "matches"))
+    def _(spark, sf):
+        rows = td.view(spark, sf, "matches")
+        target = tables.conformed(rows.filter("source_match_id % 2 = 0").selectExpr(*_values(name, False)), name)
+        batch = tables.conformed(rows.filter("source_match_id % 3 = 0").selectExpr(*_values(name, True)), name).withColumn("batch_seq", F.lit(1))
+        return upsert.upsert_table(name, target, batch, "batch_seq", "2001-01-01 00:00:00").select(*own)
+
+
+for _name in upsert.UPDATED:
+    _variant(_name)
+
+
+@query("a1_typed_tables", sql(f"SELECT {', '.join(_values('results', False))} FROM results", "results"))
 def _(spark, sf):
-    rows = td.results(spark, sf).select("fixture_id", "season", "match_date", "home_score", "away_score")
-    batch = rows.filter("season IN (1998, 1999)").withColumns({"season": F.col("season") + 100, "home_score": F.col("home_score") + 1, "batch_seq": F.lit(1)})
-    return upsert.upsert(rows.filter("season <> 1999"), batch, ["fixture_id"], "batch_seq", upsert.UPDATED["results"])
+    # Written untyped (every column a string), read by the declared schema.
+    rows = td.results(spark, sf).selectExpr(*[f"CAST({_MATCH[c]} AS STRING) {c}" for c in tables.columns("results")])
+    root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    tables.conformed(rows, "results").write.parquet(f"{root}/results")
+    return tables.read_table(spark, root, "results").drop("created_at", "updated_at")
 
 
 @query("a8_violations", sql("""SELECT 'unique(season,source_match_id)' AS rule, concat_ws('|', CAST(season AS VARCHAR), source_match_id) AS key, CAST(count(*) AS VARCHAR) AS detail FROM season_log WHERE source_match_id IS NOT NULL GROUP BY season, source_match_id HAVING count(*) > 1
@@ -188,8 +226,6 @@ def _(spark, sf):
 
 @query("a12_season_load", sql("SELECT season, count(*) AS n, sum(CASE WHEN season = 1998 THEN 0 ELSE home_score END) AS points FROM results GROUP BY season", "results"))
 def _(spark, sf):
-    import uuid
-
     path = f"{shared_dir(spark)}/by-season-{uuid.uuid4().hex}"
     rows = td.results(spark, sf).select("fixture_id", "season", "home_score")
     upsert.write_seasons(rows, path)
@@ -922,8 +958,6 @@ def _(spark, sf):
 
 @query("h4_matrix_versions", sql("SELECT 'v1' AS matrix_version, CAST(home_score AS INTEGER) AS home_score, CAST(away_score AS INTEGER) AS away_score, count(*) AS n FROM results GROUP BY ALL", "results"))
 def _(spark, sf):
-    import uuid
-
     path = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
     cells = td.results(spark, sf).groupBy("home_score", "away_score").agg(F.count("*").alias("n"))
     steps = ((2, 1.0), (4, 0.5), (6, 0.25), (999, 0.10))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.functions import rating as fx
 from oddsmill.operators import backtest, distributions, expected, form, integrity, keys, lineups, markets, residuals, season_log, strength, upsert
-from oddsmill.plans.catalog import _CURVE, _KEY, _swept, form_expectations, query, r, seasonal, sql
+from oddsmill.plans.catalog import _CURVE, _KEY, _MATCH, _swept, form_expectations, query, r, seasonal, sql
 from oddsmill.sources import tables
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import shared_dir
@@ -100,10 +100,28 @@ def _(spark, sf):
     return td.view(spark, sf, "matches").select("source_match_id", fx.fixture_key(F.col("match_date"), F.col("home_team_id"), F.col("away_team_id")).alias("natural_key"))
 
 
-@query("c9_fixture_rows", sql(f"SELECT {_FIXTURE} AS fixture_id, season, match_date, home_team_id, away_team_id, source_match_id, home_score, away_score FROM (SELECT *, row_number() OVER (PARTITION BY season, match_date, home_team_id, away_team_id ORDER BY source_match_id) i FROM matches) WHERE i = 1", "matches"))
+_FIRST = "(SELECT *, row_number() OVER (PARTITION BY match_date, home_team_id, away_team_id ORDER BY source_match_id) i FROM matches)"
+
+
+def _source_matches(spark, sf):
+    """Matches with every column that the source gives, not yet keyed."""
+    given = {*tables.columns("fixtures"), *tables.columns("results")} - {"fixture_id", "source_match_id"}
+    return td.view(spark, sf, "matches").selectExpr(*[f"{v} {c}" for c, v in _MATCH.items() if c in given], "source_match_id").withColumns({s: F.when(F.col("source_match_id") % 4 > 0, F.col(s)) for s in ("home_score", "away_score")})
+
+
+def _projection(name: str) -> str:
+    value = {**_MATCH, "fixture_id": _FIXTURE, "source_match_id": "source_match_id"}
+    return f"SELECT {', '.join(f'{value[c]} AS {c}' for c in tables.columns(name))} FROM {_FIRST} WHERE i = 1" + (" AND source_match_id % 4 > 0" if name == "results" else "")
+
+
+@query("c9_fixture_rows", sql(_projection("fixtures"), "matches"))
 def _(spark, sf):
-    rows = td.view(spark, sf, "matches")
-    return keys.fixture_rows(rows).join(keys.result_rows(rows), "fixture_id")
+    return keys.fixture_rows(_source_matches(spark, sf))
+
+
+@query("c9_result_rows", sql(_projection("results"), "matches"))
+def _(spark, sf):
+    return keys.result_rows(_source_matches(spark, sf))
 
 
 @query("c13_appearances", sql("SELECT match_id, row_idx, side, team_id, season, player_id, lineup_order, is_starting FROM app", "app"))
@@ -236,6 +254,14 @@ def _(spark, sf):
     return integrity.report(*integrity.history_rules(bad))
 
 
+@query("h8_target_rules", sql("""SELECT 'not_null(expected_home)' AS rule, fixture_id AS key, 'NULL' AS detail FROM results WHERE home_score = 9 UNION ALL SELECT 'expected_away >= 0', fixture_id, CAST(away_score - 2 AS VARCHAR) FROM results WHERE away_score < 2
+    UNION ALL SELECT '0 <= strength <= 1', '1.5', '' UNION ALL SELECT 'mean > 0', 'away_score', '0.0'""", "results"))
+def _(spark, sf):
+    rows = td.results(spark, sf)
+    targets = rows.select("fixture_id", F.nullif("home_score", F.lit(9)).alias("expected_home"), (F.col("away_score") - 2).alias("expected_away"))
+    return integrity.report(*integrity.target_rules(targets, ["expected_home", "expected_away"], ["fixture_id"], 1.5), integrity.mean_rules(rows.withColumn("away_score", F.lit(0))))
+
+
 @query("h14_dense_grid", sql("SELECT h.k::INTEGER AS home_score, a.k::INTEGER AS away_score, coalesce(n, 0)::DOUBLE AS p FROM range(0, 61) h(k) CROSS JOIN range(0, 61) a(k) LEFT JOIN (SELECT home_score, away_score, count(*) n FROM results GROUP BY ALL) c ON c.home_score = h.k AND c.away_score = a.k", "results"))
 def _(spark, sf):
     counts = td.results(spark, sf).groupBy("home_score", "away_score").agg(F.count("*").cast("double").alias("p"))
@@ -282,6 +308,13 @@ def _(spark, sf):
     return backtest.evaluation_set(rows).select("fixture_id", "home_score", "away_score", "expected_home")
 
 
+@query("k1_joined_evaluation", sql(f"SELECT fixture_id, season, match_date, h.s_name AS home_team, a.s_name AS away_team, home_score, away_score, {r('expected_home', 'expected_home')}, {r('expected_away', 'expected_away')} FROM fe JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id WHERE h.s_suppkey % 9 > 0 AND a.s_suppkey % 9 > 0", "fe"))
+def _(spark, sf):
+    teams = td.table(spark, sf, "supplier").filter("s_suppkey % 9 > 0").selectExpr("s_suppkey team_id", "s_name canonical_name")
+    rows = backtest.joined_evaluation(td.results(spark, sf), form_expectations(spark, sf), td.view(spark, sf, "matches"), teams)
+    return backtest.evaluation_set(rows).drop("home_team_id", "away_team_id")
+
+
 @query("k5_weight_sweep", sql(f"SELECT fixture_id, weight, {r('s', 'p_score')}, {r('h', 'p_home')}, {r('o', 'p_over')}, {r('c', 'p_cover')} FROM sw", "sw"))
 def _(spark, sf):
     return _swept(spark, sf).select("fixture_id", "weight", "p_score", "p_home", "p_over", "p_cover")
