@@ -89,7 +89,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     @F.pandas_udf(ArrayType(LongType()))
     def full(part: pd.Series) -> pd.Series:
-        return pd.Series([s.view(np.int64) for s in shingle_sets([t.encode() for t in part], size)])
+        # A slice at a time: hashing takes tens of bytes for each byte of the texts at hand.
+        slices = (part.iloc[at : at + SLICE] for at in range(0, len(part), SLICE))
+        return pd.Series([s.view(np.int64) for own in slices for s in shingle_sets([t.encode() for t in own], size)], dtype=object)
 
     return docs.select("doc_id", full("text").alias("shingles"))
 
