@@ -123,19 +123,34 @@ def bucketed(cells: DataFrame, keys: list[str], width: int, max_score: int) -> D
 
 
 def solve_tilt(marginal: np.ndarray, targets: np.ndarray, steps: int = 100, tolerance: float = 1e-10, bound: float = 10.0) -> np.ndarray:
-    """Exponents t with mean of ``marginal * exp(t * k)`` at each target, all targets at once by bisection."""
+    """Exponents t with mean of ``marginal * exp(t * k)`` at each target, all targets at once by bisection.
+
+    Two Newton steps follow where they stay in the bracket: they meet the mean to rounding, so that prices do not
+    depend on where the bisection stopped.
+    """
     k = np.arange(len(marginal), dtype=float)
     log_p = np.where(marginal > 0, np.log(np.maximum(marginal, 1e-300)), -np.inf)
+
+    def moments(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = log_p + t[:, None] * k
+        w = np.exp(x - x.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        mean = (w * k).sum(axis=1)
+        return mean, (w * (k - mean[:, None]) ** 2).sum(axis=1)
+
     low, high = np.full(len(targets), -bound), np.full(len(targets), bound)
     for _ in range(steps):
         mid = (low + high) / 2
-        x = log_p + mid[:, None] * k
-        w = np.exp(x - x.max(axis=1, keepdims=True))
-        mean = (w * k).sum(axis=1) / w.sum(axis=1)
+        mean, _ = moments(mid)
         low, high = np.where(mean < targets, mid, low), np.where(mean < targets, high, mid)
         if (high - low).max(initial=0) < tolerance:
             break
-    return (low + high) / 2
+    out = (low + high) / 2
+    for _ in range(2):
+        mean, spread = moments(out)
+        new = out + (targets - mean) / np.maximum(spread, 1e-300)
+        out = np.where((np.abs(new - out) <= 2 * tolerance) & (spread > 0), new, out)
+    return out
 
 
 def _grid(base: DataFrame, max_score: int) -> np.ndarray:

@@ -580,9 +580,39 @@ def _(spark, sf):
     return markets.display(ladder, main, ["season"], ("home", "away")).drop("home_decimal_price", "away_decimal_price")
 
 
-@query("i8_price_all_fixtures")
+#: Newton steps of the SQL on each side's exponent.
+_TILTS = 25
+CTES |= {
+    "ib": f"""SELECT i, j, w / sum(w) OVER () p FROM (SELECT least(home_score, 100) i, least(away_score, 100) j, sum(CASE WHEN y <= 2 THEN 1.0 WHEN y <= 4 THEN 0.5 WHEN y <= 6 THEN 0.25 WHEN y <= 999 THEN 0.1 ELSE 0 END::DOUBLE) w
+        FROM (SELECT *, date_diff('day', match_date, DATE '{td.AS_OF}') / 365.25::DOUBLE y FROM results) GROUP BY ALL)""",
+    "im": "SELECT 'h' side, i k, sum(p) q FROM ib GROUP BY ALL UNION ALL SELECT 'a', j, sum(p) FROM ib GROUP BY ALL",
+    "ie": f"SELECT fixture_id, {_EH} eh, {_EA} ea FROM fp WHERE ha > 0 AND hd > 0 AND aa > 0 AND ad > 0",
+    "it0": "SELECT fixture_id, unnest(['h', 'a']) side, unnest([eh, ea]) target, 0::DOUBLE t FROM ie",
+}
+_TD_BASE |= {"ib": ["results"], "im": ["ib"], "ie": ["fp"], "it0": ["ie"]}
+for _k in range(_TILTS):
+    CTES[f"it{_k + 1}"] = f"""SELECT fixture_id, side, target, t + (target - m) / v t FROM (SELECT fixture_id, side, target, t, sum(k * w) / sum(w) m, sum(k * k * w) / sum(w) - pow(sum(k * w) / sum(w), 2) v
+        FROM (SELECT *, q * exp(t * k) w FROM it{_k} JOIN im USING (side)) GROUP BY ALL)"""
+    _TD_BASE[f"it{_k + 1}"] = [f"it{_k}", "im"]
+CTES |= {
+    "ip": f"""SELECT fixture_id, i, j, w / sum(w) OVER (PARTITION BY fixture_id) p FROM (SELECT h.fixture_id, i, j, p * exp(h.t * i + a.t * j) w
+        FROM it{_TILTS} h JOIN it{_TILTS} a ON a.fixture_id = h.fixture_id AND h.side = 'h' AND a.side = 'a', ib)""",
+    "iw": "SELECT fixture_id, i - j m, sum(p) p FROM ip GROUP BY ALL",
+    "iu": "SELECT fixture_id, i + j s, sum(p) p FROM ip GROUP BY ALL",
+    "iy": "SELECT fixture_id, line, coalesce(sum(p) FILTER (m + line > 0), 0) home FROM (SELECT fixture_id, floor(-(eh - ea)) + 0.5 + x line FROM ie, range(-20, 21) k(x)) JOIN iw USING (fixture_id) GROUP BY ALL",
+    "iz": """SELECT fixture_id, line, coalesce(sum(p) FILTER (s > line), 0) over_ FROM (SELECT fixture_id, unnest(range(floor(round(mean, 9) - 20)::BIGINT, ceil(round(mean, 9) + 20)::BIGINT + 1)) + 0.5 line
+        FROM (SELECT fixture_id, sum(s * p) mean FROM iu GROUP BY fixture_id)) JOIN iu USING (fixture_id) GROUP BY ALL""",
+    "io": "SELECT fixture_id, coalesce(sum(p) FILTER (m > 0), 0) h, coalesce(sum(p) FILTER (m = 0), 0) d FROM iw GROUP BY fixture_id",
+    "ia": """SELECT fixture_id, 'match_odds' market, unnest(['home', 'draw', 'away']) selection, NULL::DOUBLE line, unnest([h, d, 1 - h - d]) p FROM io
+        UNION ALL SELECT fixture_id, 'handicap', unnest(['home', 'away']), line::DOUBLE, unnest([home, 1 - home]) FROM iy
+        UNION ALL SELECT fixture_id, 'totals', unnest(['over', 'under']), line::DOUBLE, unnest([over_, 1 - over_]) FROM iz""",
+}
+_TD_BASE |= {"ip": [f"it{_TILTS}", "ib"], "iw": ["ip"], "iu": ["ip"], "iy": ["ie", "iw"], "iz": ["iu"], "io": ["iw"], "ia": ["io", "iy", "iz"]}
+
+
+@query("i8_price_all_fixtures", sql(f"SELECT fixture_id, market, selection, line, {r('p', 'probability')}, round(CASE WHEN p > 0 THEN 1 / p ELSE 'inf'::DOUBLE END, 4) AS decimal_price FROM ia", "ia"))
 def _(spark, sf):
-    return rebuild.prices(spark, sf)
+    return rebuild.prices(spark, sf).withColumn("decimal_price", F.round("decimal_price", 4))
 
 
 # --- ratings, backtests, studies ---------------------------------------------------------------
