@@ -67,25 +67,43 @@ def poisson_cells(rows: DataFrame, keys: list[str], home: str, away: str, max_sc
 
 
 def shifted(history: DataFrame, targets: DataFrame, keys: list[str], home: str, away: str, max_score: int = 100, strength: float = 1.0) -> DataFrame:
-    """History scaled towards target means: scores times (target / mean) ** strength, split over neighbouring whole scores."""
+    """History scaled towards target means: scores times (target / mean) ** strength, split over neighbouring whole scores.
+
+    The split of home and of away scores is separate, so a target's matrix is the matrix of
+    historical counts between two bands, each with two entries a score.  The counts (one a
+    scoreline that occurs) go to every task; a target's matrix is made where the target lies.
+    A target of 0 or less has all scores at 0; a missing target gives no cells.
+    """
     if not 0 <= strength <= 1:
         raise ValueError("strength must be between 0 and 1")
-    lines = history.groupBy(*CELL).agg(F.count("*").alias("n"))
-    means = lines.agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"mean_{c}") for c in CELL])  # one row
-    rows = targets.select(*keys, home, away).join(F.broadcast(lines.crossJoin(F.broadcast(means))))  # at most (max_score + 1) ** 2 scorelines
+    lines = history.dropna(subset=CELL).groupBy(*CELL).agg(F.count("*").alias("n")).toPandas()  # a row a scoreline
+    axes = [np.unique(lines[c].to_numpy(dtype=float)) for c in CELL]
+    counts = np.zeros((len(axes[0]), len(axes[1])))
+    counts[tuple(np.searchsorted(x, lines[c].to_numpy(dtype=float)) for x, c in zip(axes, CELL, strict=True))] = lines["n"]
+    shared = targets.sparkSession.sparkContext.broadcast((axes, counts))
+    rows = targets.select(*keys, F.col(home).cast("double").alias("_home"), F.col(away).cast("double").alias("_away")).dropna(subset=["_home", "_away"])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+
+    def band(scores: np.ndarray, weights: np.ndarray, target: float) -> np.ndarray:
+        """``moved score x score``: the shares of each historical score that go to whole scores."""
+        mean = (scores * weights).sum() / weights.sum()
+        factor = (target / mean) ** strength if target > 0 else 0.0
+        x = np.clip(scores * factor, 0.0, float(max_score))
+        low, place = np.floor(x).astype(int), np.arange(len(x))
+        out = np.zeros((max_score + 2, len(x)))
+        out[low, place] = 1 - (x - low)
+        out[low + 1, place] += x - low
+        return out[:-1]
 
-    def moved(score: str, target: str) -> Column:
-        factor = F.when(F.col(target) > 0, F.pow(F.col(target) / F.col(f"mean_{score}"), F.lit(strength))).otherwise(0.0)
-        return F.least(F.greatest(F.col(score) * factor, F.lit(0.0)), F.lit(float(max_score)))
-
-    def parts(x: Column) -> Column:
-        low = F.floor(x).cast("int")
-        return F.array(F.struct(low.alias("s"), (1 - (x - low)).alias("w")), F.struct((low + 1).alias("s"), (x - low).alias("w")))
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (home_scores, away_scores), m = shared.value
+        for batch in batches:
+            for r in batch.to_dict("records") if m.size else []:
+                p = band(home_scores, m.sum(axis=1), r["_home"]) @ m @ band(away_scores, m.sum(axis=0), r["_away"]).T
+                i, j = np.nonzero(p)
+                yield pd.DataFrame({**{k: [r[k]] * len(i) for k in keys}, "home_score": i.astype(np.int32), "away_score": j.astype(np.int32), "p": p[i, j] / p.sum()})
 
-    rows = rows.select(*keys, "n", parts(moved("home_score", home)).alias("h"), parts(moved("away_score", away)).alias("a"))
-    rows = rows.select(*keys, "n", F.explode("h").alias("h"), "a").select(*keys, "n", "h", F.explode("a").alias("a"))
-    cells = rows.select(*keys, F.col("h.s").alias("home_score"), F.col("a.s").alias("away_score"), (F.col("n") * F.col("h.w") * F.col("a.w")).alias("p")).filter("p > 0")
-    return normalised(cells.groupBy(*keys, *CELL).agg(F.sum("p").alias("p")), keys)
+    return rows.mapInPandas(made, f"{kinds}, home_score int, away_score int, p double")
 
 
 def blended(a: DataFrame, b: DataFrame, keys: list[str], weight_b: float) -> DataFrame:
@@ -181,34 +199,72 @@ def tilted_cells(base: DataFrame, tilted: DataFrame, keys: list[str]) -> DataFra
     return normalised(rows.select(*keys, *CELL, F.exp(F.col("_x") - F.col("_m")).alias("p")), keys)
 
 
-def joint_tilts(bases: DataFrame, targets: DataFrame, group: str, key: str, home: str, away: str, max_score: int, steps: int = 100, tolerance: float = 1e-8) -> DataFrame:
-    """Both means at once, by Newton steps with their covariance, for the targets that share a base matrix."""
-
-    def solved(_, base: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        p = np.zeros((max_score + 1, max_score + 1))
-        p[base["home_score"], base["away_score"]] = base["p"]
-        log_p = np.log(np.maximum(p, 1e-12))
-        i, j = np.indices(p.shape)
-        out = []
-        for k, h, a in zip(rows[key], rows[home], rows[away], strict=True):
-            t = np.zeros(2)
-            for _ in range(steps):
-                x = log_p + t[0] * i + t[1] * j
-                w = np.exp(x - x.max())
-                w /= w.sum()
-                gap = np.array([h - (w * i).sum(), a - (w * j).sum()])
-                if abs(gap).max() < tolerance:
-                    break
-                di, dj = i - (w * i).sum(), j - (w * j).sum()
-                c = np.array([[(w * di * di).sum(), (w * di * dj).sum()], [(w * di * dj).sum(), (w * dj * dj).sum()]]) + 1e-10 * np.eye(2)
-                t = t + np.clip(np.linalg.solve(c, gap), -1.0, 1.0)
-            else:
-                raise ValueError(f"no tilt of {k} meets its means")
-            out.append((k, t[0], t[1]))
-        return pd.DataFrame(out, columns=[key, "theta_home", "theta_away"])
-
-    kind = targets.schema[key].dataType.simpleString()
-    return bases.groupBy(group).cogroup(targets.groupBy(group)).applyInPandas(solved, f"{key} {kind}, theta_home double, theta_away double")
+def solve_joint_tilt(p: np.ndarray, home: np.ndarray, away: np.ndarray, steps: int = 100, tolerance: float = 1e-8) -> np.ndarray:
+    """Two exponents a target with both means of ``p * exp(t0 * i + t1 * j)`` at the targets, by Newton steps for all targets at once.
+
+    The weights are a product but for ``p``, so a step needs three products with the matrix and no target's cells.
+    """
+    p = np.maximum(p, 1e-12)
+    i, j = (np.arange(n, dtype=float) for n in p.shape)
+    wanted, t = np.column_stack([home, away]).astype(float), np.zeros((len(home), 2))
+    open_ = np.arange(len(t))
+    for _ in range(steps):
+        x, y = t[open_, :1] * i, t[open_, 1:] * j
+        x, y = np.exp(x - x.max(axis=1, keepdims=True)), np.exp(y - y.max(axis=1, keepdims=True))
+        rows = [x * ((y * w) @ p.T) for w in (1.0, j, j * j)]
+        mass = rows[0].sum(axis=1)
+        mean = np.column_stack([(rows[0] * i).sum(axis=1), rows[1].sum(axis=1)]) / mass[:, None]
+        gap = wanted[open_] - mean
+        left = np.abs(gap).max(axis=1) >= tolerance
+        if not left.any():
+            return t
+        ii, jj, ij = (v / mass for v in ((rows[0] * i * i).sum(axis=1), rows[2].sum(axis=1), (rows[1] * i).sum(axis=1)))
+        c = np.empty((len(open_), 2, 2))
+        c[:, 0, 0], c[:, 1, 1] = ii - mean[:, 0] ** 2 + 1e-10, jj - mean[:, 1] ** 2 + 1e-10
+        c[:, 0, 1] = c[:, 1, 0] = ij - mean[:, 0] * mean[:, 1]
+        step = np.clip(np.linalg.solve(c, gap[:, :, None])[:, :, 0], -1.0, 1.0)
+        t[open_[left]] += step[left]
+        open_ = open_[left]
+    raise ValueError(f"no tilt meets the means {wanted[open_[0]].tolist()}")
+
+
+#: Base matrices of the joint tilt are sent to every task up to this size.
+BASES_BYTES = 32 << 20
+
+
+def joint_tilts(bases: DataFrame, targets: DataFrame, group: str, key: str, home: str, away: str, max_score: int, steps: int = 100, tolerance: float = 1e-8, most_bytes: int = BASES_BYTES) -> DataFrame:
+    """``key, theta_home, theta_away``: both means at once, by Newton steps with their covariance.
+
+    bases: group and cells; targets: group, key and two means.  Targets are solved in batches where they
+    lie; their group's matrix is broadcast.  Matrices of more than ``most_bytes`` together
+    meet their targets by a shuffle instead.  Targets of a group without matrix, or without means, go.
+    """
+    n = max_score + 1
+    rows = targets.select(group, key, F.col(home).cast("double").alias("_h"), F.col(away).cast("double").alias("_a")).dropna()
+    schema = f"`{key}` {targets.schema[key].dataType.simpleString()}, theta_home double, theta_away double"
+
+    def matrix(cells: pd.DataFrame) -> np.ndarray:
+        p = np.zeros((n, n))
+        p[cells["home_score"], cells["away_score"]] = cells["p"]
+        return p
+
+    def tilted(p: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        t = solve_joint_tilt(p, part["_h"].to_numpy(), part["_a"].to_numpy(), steps, tolerance)
+        return pd.DataFrame({key: part[key].to_numpy(), "theta_home": t[:, 0], "theta_away": t[:, 1]})
+
+    if bases.select(group).distinct().count() * n * n * 8 > most_bytes:
+        met = lambda _, cells, part: tilted(matrix(cells), part) if len(cells) and len(part) else part[[key]].head(0).assign(theta_home=0.0, theta_away=0.0)
+        return bases.groupBy(group).cogroup(rows.groupBy(group)).applyInPandas(met, schema)
+    cells = bases.select(group, *CELL, "p").toPandas()
+    shared = targets.sparkSession.sparkContext.broadcast({g: matrix(own) for g, own in cells.groupby(group)})
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby(group):
+                if g in shared.value:
+                    yield tilted(shared.value[g], part)
+
+    return rows.mapInPandas(solved, schema)
 
 
 def margin_and_total(base: DataFrame, tilted: DataFrame, max_score: int = 100) -> DataFrame:

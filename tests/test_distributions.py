@@ -112,3 +112,50 @@ def test_joint_tilt_is_exact(spark):
     w = {(r.home_score, r.away_score): r.p * math.exp(t.theta_home * r.home_score + t.theta_away * r.away_score) for r in base.collect()}
     mass = sum(w.values())
     assert sum(i * p for (i, _), p in w.items()) / mass == pytest.approx(3.0) and sum(j * p for (_, j), p in w.items()) / mass == pytest.approx(5.5)
+
+
+@pytest.mark.parametrize("most_bytes", [0, 1 << 20])
+def test_joint_tilts_of_groups_by_either_path(spark, most_bytes):
+    cells = [(g, i, j, 1.0 + g * (i == j) + (i * j) % 3) for g in (1, 2) for i in range(9) for j in range(9)]
+    base = spark.createDataFrame(cells, "g int, home_score int, away_score int, p double")
+    wanted = [(1 + k % 3, f"k{k}", 1.0 + k % 6, 7.0 - k % 5) for k in range(40)] + [(1, "none", None, 3.0)]
+    frame = spark.createDataFrame(wanted, "g int, id string, h double, a double").repartition(3)
+    out = ds.joint_tilts(base, frame, "g", "id", "h", "a", 8, most_bytes=most_bytes)
+    assert ("CoGroup" in out._jdf.queryExecution().toString()) == (most_bytes == 0)
+    got = {r.id: (r.theta_home, r.theta_away) for r in out.collect()}
+    assert set(got) == {k for g, k, h, _ in wanted if g < 3 and h is not None}
+    for g, k, h, a in wanted:
+        if k in got:
+            w = {(i, j): p * math.exp(got[k][0] * i + got[k][1] * j) for c, i, j, p in cells if c == g}
+            mass = sum(w.values())
+            assert sum(i * p for (i, _), p in w.items()) / mass == pytest.approx(h) and sum(j * p for (_, j), p in w.items()) / mass == pytest.approx(a)
+
+
+def test_unreachable_means_are_an_error():
+    with pytest.raises(ValueError, match="no tilt"):
+        ds.solve_joint_tilt(np.ones((4, 4)), np.array([1.0, 9.0]), np.array([1.0, 1.0]))
+
+
+@pytest.mark.parametrize("strength", [0.0, 0.5, 1.0])
+def test_shifted_matrices_by_hand(spark, strength):
+    lines = [(3, 1), (3, 1), (0, 2), (7, 5), (4, 4), (None, 3)]
+    history = spark.createDataFrame(lines, "home_score int, away_score int")
+    targets = [("x", 5.5, 2.0), ("y", 0.0, 9.0), ("z", 50.0, 1.0), ("none", None, 1.0)]
+    got = {}
+    for r in ds.shifted(history, spark.createDataFrame(targets, "id string, h double, a double"), ["id"], "h", "a", 10, strength).collect():
+        got.setdefault(r.id, {})[r.home_score, r.away_score] = r.p
+    known = [x for x in lines if x[0] is not None]
+    means = [sum(x[k] for x in known) / len(known) for k in (0, 1)]
+    assert set(got) == {"x", "y", "z"}
+    for name, *goal in targets[:3]:
+        want = {}
+        for line in known:
+            sides = []
+            for score, mean, target in zip(line, means, goal, strict=True):
+                x = min(max(score * ((target / mean) ** strength if target > 0 else 0.0), 0.0), 10.0)
+                sides.append([(int(x), 1 - (x - int(x))), (int(x) + 1, x - int(x))])
+            for i, v in sides[0]:
+                for j, w in sides[1]:
+                    if v * w > 0:
+                        want[i, j] = want.get((i, j), 0.0) + v * w / len(known)
+        assert got[name] == pytest.approx(want)
