@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsmill.operators.selection import percentiles
+from oddsmill.sources.storage import written
+
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
@@ -12,12 +15,16 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
 
 
-def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    marks = [F.percentile("x", F.lit(q)).alias(f"p{round(q * 100)}") for q in percentiles]
-    return _long(df, columns).groupBy("name").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"), *marks,
+def describe(df: DataFrame, columns: list[str], shares: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """A row a column. The columns are written once, as each percentile range reads them again."""
+    rows = written(df.select(*columns), "described")
+    marks = [(c, *percentiles(rows, c, list(shares))) for c in columns]
+    table = df.sparkSession.createDataFrame(marks, "name string, " + ", ".join(f"p{round(q * 100)} double" for q in shares))
+    stats = _long(rows, columns).groupBy("name").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"),
         F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x") <= 0).alias("not_positive"),
     )
+    return stats.join(F.broadcast(table), "name")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:

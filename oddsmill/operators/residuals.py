@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions.rating import capped_curve
+from oddsmill.operators.selection import percentiles
+from oddsmill.sources.storage import written
 
 #: About a usual score; sums of squares are of differences from it.
 CENTRE = 25.0
@@ -25,8 +27,13 @@ def team_residuals(rows: DataFrame) -> DataFrame:
 
 
 def flagged(rows: DataFrame, spread: float = 1.5) -> DataFrame:
-    """Add the sample's mean, deviation and quantiles (one row, broadcast) and whether the residual lies outside."""
-    stats = rows.agg(F.avg("residual").alias("mu"), F.stddev_samp("residual").alias("sd"), F.percentile("residual", F.lit(0.05)).alias("q05"), F.percentile("residual", F.lit(0.95)).alias("q95"))
+    """Add the sample's mean, deviation and quantiles (one row, broadcast) and whether the residual lies outside.
+
+    The rows are written once, as they are read for each of these.
+    """
+    rows = written(rows, "residuals")
+    quantiles = [F.lit(x).cast("double") for x in percentiles(rows, "residual", [0.05, 0.95])]
+    stats = rows.agg(F.avg("residual").alias("mu"), F.stddev_samp("residual").alias("sd")).withColumns(dict(zip(("q05", "q95"), quantiles, strict=True)))
     out = rows.crossJoin(F.broadcast(stats))
     return out.withColumn("outlier", ~F.col("residual").between(F.col("mu") - spread * F.col("sd"), F.col("mu") + spread * F.col("sd")))
 
@@ -81,7 +88,9 @@ def sensitivity(rows: DataFrame, multiplier: str) -> DataFrame:
     """How far the multiplier moves after an outlier."""
     order = Window.partitionBy("team_id").orderBy("match_date", "fixture_id")
     moved = rows.withColumn("_d", F.lead(multiplier).over(order) - F.col(multiplier)).filter("outlier").select(F.abs("_d").alias("_d")).dropna()
-    return moved.agg(F.count("*").alias("n"), F.avg("_d").alias("mean"), F.percentile("_d", F.lit(0.5)).alias("median"), F.max("_d").alias("most"))
+    moved = written(moved, "moves")
+    median = F.lit(percentiles(moved, "_d", [0.5])[0]).cast("double")
+    return moved.agg(F.count("*").alias("n"), F.avg("_d").alias("mean"), F.max("_d").alias("most")).select("n", "mean", median.alias("median"), "most")
 
 
 def largest(rows: DataFrame, n: int = 30) -> DataFrame:
