@@ -34,13 +34,17 @@ def raw_multipliers(form: DataFrame, n: int = FORM, prior: float = PRIOR) -> Dat
     return form.withColumns({"raw_attack": attack, "raw_defence": defence})
 
 
-def adjusted(rows: DataFrame) -> DataFrame:
-    """Points adjusted for the opponent's current multipliers; a missing multiplier is 1."""
+def opponent_multipliers(rows: DataFrame) -> DataFrame:
+    """Add the opponent's current multipliers ``opponent_attack, opponent_defence``; a missing one is 1."""
     other = rows.select("fixture_id", F.col("team_id").alias("opponent_id"), F.col("attack").alias("oa"), F.col("defence").alias("od"))
     both = rows.join(other, ["fixture_id", "opponent_id"], "left")
-    return both.select(
-        *rows.columns, F.try_divide(F.col("points_for"), F.coalesce("od", F.lit(1.0))).alias("adjusted_for"), F.try_divide(F.col("points_against"), F.coalesce("oa", F.lit(1.0))).alias("adjusted_against"),
-    )
+    return both.select(*rows.columns, F.coalesce("oa", F.lit(1.0)).alias("opponent_attack"), F.coalesce("od", F.lit(1.0)).alias("opponent_defence"))
+
+
+def adjusted(rows: DataFrame) -> DataFrame:
+    """Points adjusted for the opponent's current multipliers."""
+    both = opponent_multipliers(rows)
+    return both.select(*rows.columns, F.try_divide(F.col("points_for"), F.col("opponent_defence")).alias("adjusted_for"), F.try_divide(F.col("points_against"), F.col("opponent_attack")).alias("adjusted_against"))
 
 
 def one_pass(rows: DataFrame, n: int = FORM, prior: float = PRIOR) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddsmill.operators import distributions, expected, form, integrity, markets, strength
+from oddsmill.operators import distributions, expected, form, integrity, markets, strength, upsert
+from oddsmill.sources import tables
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import written
 
@@ -17,6 +19,23 @@ def features(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return power, expected.expected_scores(power, results)
 
 
+def strength_table(results: DataFrame, known: DataFrame | None = None, **parameters) -> DataFrame:
+    """Rows of the table of multipliers after a build: those of ``known`` for the same fixture and team are replaced."""
+    made = strength.strength(form.team_matches(results), **parameters).join(results.select("fixture_id", "season"), "fixture_id")
+    return _rows("strength_multipliers", made, known)
+
+
+def expected_table(results: DataFrame, power: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows of the table of expected scores after a build from strength; fixtures of ``known`` are replaced."""
+    return _rows("expected_scores", expected.expected_scores(power, results).join(results.select("fixture_id", "season", "home_team_id", "away_team_id"), "fixture_id"), known)
+
+
+def _rows(name: str, made: DataFrame, known: DataFrame | None) -> DataFrame:
+    rows = tables.conformed(made, name)
+    integrity.report(integrity.unique(rows, tables.KEYS[name]), strict=True)
+    return rows if known is None else upsert.upsert(tables.conformed(known, name), rows.withColumn("_n", F.lit(1)), tables.KEYS[name], "_n")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = td.results(spark, sf_dir)
     integrity.report(*integrity.results_rules(results), strict=True)

@@ -11,7 +11,7 @@ from oddsmill.sources.testdata import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: The SQL makes all ten passes; with the few teams of this scale the plan may stop before.
-LONG = {"e9_strength_fixpoint", "g5_expected_scores", "g10_predictions", "i8_price_all_fixtures", "l8_sensitivity", "l11_cap_grid", "m4_curve_grid", "m5_best_curve"}
+LONG = {"e9_strength_fixpoint", "e10_strength_table", "g5_expected_scores", "g6_expected_table", "g10_predictions", "i8_price_all_fixtures", "l8_sensitivity", "l11_cap_grid", "m4_curve_grid", "m5_best_curve"}
 
 
 @pytest.fixture(scope="module")
