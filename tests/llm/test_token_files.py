@@ -37,7 +37,7 @@ def test_units_equal_whole_texts(library):
 def test_slices_cover_a_batch(monkeypatch):
     monkeypatch.setattr(token_files, "SLICE", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["", "a" * 30, "bc", "", "d" * 9])], ["text"])
-    parts = list(token_files._slices(batch, 0))
+    parts = list(token_files.slices(batch, 0))
     assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist() and len(parts) == 2
 
 
