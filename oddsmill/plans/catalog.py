@@ -52,6 +52,7 @@ for _k in range(10):
           FROM st{_k} s LEFT JOIN st{_k} o ON o.fixture_id = s.fixture_id AND o.team_id = s.opponent_id)
         WINDOW w AS (PARTITION BY team_id ORDER BY match_date, fixture_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))"""
 _CURVE = "1 + sign((x - 1) * 0.8) * 0.4 * (2 * least(abs((x - 1) * 0.8) / 0.75, 1) - least(abs((x - 1) * 0.8) / 0.75, 1) * least(abs((x - 1) * 0.8) / 0.75, 1))"
+_EH, _EA = "league_average * ha * ad * home_factor", "league_average * aa * hd * away_factor"
 CTES |= {
     "strength": f"SELECT *, {_CURVE.replace('x', 'a')} sa, {_CURVE.replace('x', 'd')} sd FROM st10",
     "days": "SELECT match_date, sum(count(*)) OVER w n, sum(sum(home_score)) OVER w h, sum(sum(away_score)) OVER w a FROM results GROUP BY match_date WINDOW w AS (ORDER BY match_date)",
@@ -59,11 +60,10 @@ CTES |= {
         FROM (SELECT match_date, lag(n) OVER o n, lag(h) OVER o h, lag(a) OVER o a FROM days WINDOW o AS (ORDER BY match_date))""",
     "sides": """SELECT fixture_id, match_date, max(CASE WHEN is_home = 1 THEN sa END) ha, max(CASE WHEN is_home = 1 THEN sd END) hd,
         max(CASE WHEN is_home = 0 THEN sa END) aa, max(CASE WHEN is_home = 0 THEN sd END) ad FROM strength GROUP BY ALL""",
-    # Expectations from form alone, for the reports and studies.
-    "fe": """SELECT r.fixture_id, r.season, r.match_date, r.home_team_id, r.away_team_id, r.home_score, r.away_score,
-          (h.avg_for_10 + a.avg_against_10) / 2 expected_home, (a.avg_for_10 + h.avg_against_10) / 2 expected_away
-        FROM results r JOIN form h ON h.fixture_id = r.fixture_id AND h.is_home = 1 JOIN form a ON a.fixture_id = r.fixture_id AND a.is_home = 0
-        WHERE h.games_used_10 > 0 AND a.games_used_10 > 0""",
+    # Played fixtures with the expected scores of the fixpoint, for the reports and studies.
+    "fe": f"""SELECT r.fixture_id, season, r.match_date, home_team_id, away_team_id, home_score, away_score, {_EH} expected_home, {_EA} expected_away, ha home_attack, hd home_defence, aa away_attack, ad away_defence
+        FROM results r JOIN sides USING (fixture_id) JOIN factors f ON f.match_date = r.match_date
+        WHERE ha > 0 AND hd > 0 AND aa > 0 AND ad > 0 AND league_average > 0 AND home_factor > 0 AND away_factor > 0""",
     "res": """SELECT fixture_id, match_date, team_id, is_home, observed, expected, observed - expected residual FROM (
           SELECT fixture_id, match_date, home_team_id team_id, 1 is_home, CAST(home_score AS DOUBLE) observed, expected_home expected FROM fe
           UNION ALL SELECT fixture_id, match_date, away_team_id, 0, CAST(away_score AS DOUBLE), expected_away FROM fe)""",
@@ -74,7 +74,7 @@ CTES |= {
           FROM (SELECT *, date_diff('day', match_date, DATE '2000-01-01') / 365.25::DOUBLE y FROM results)) GROUP BY ALL)""",
     "means": "SELECT season, sum(home_score * p) eh, sum(away_score * p) ea FROM seasonal GROUP BY season",
 }
-_TD_BASE = {"results": ["matches"], "future": ["matches"], "tm": ["results"], "form": ["tm"], "league": ["tm"], "raw": ["form", "league"], "st0": ["raw"], "strength": ["st10"], "days": ["results"], "factors": ["days"], "sides": ["strength"], "fe": ["form"], "res": ["fe"], "flag": ["res"], "seasonal": ["results"], "means": ["seasonal"]}
+_TD_BASE = {"results": ["matches"], "future": ["matches"], "tm": ["results"], "form": ["tm"], "league": ["tm"], "raw": ["form", "league"], "st0": ["raw"], "strength": ["st10"], "days": ["results"], "factors": ["days"], "sides": ["strength"], "fe": ["results", "sides", "factors"], "res": ["fe"], "flag": ["res"], "seasonal": ["results"], "means": ["seasonal"]}
 _TD_BASE |= {f"st{k + 1}": [f"st{k}"] for k in range(10)}
 
 
@@ -102,9 +102,9 @@ def r(expression: str, name: str, digits: int = DIGITS) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, digits: int = DIGITS):
     def added(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if oracle is not None:
             ORACLE_SQL[name] = oracle
         return f
@@ -112,16 +112,6 @@ def query(name: str, oracle: str | None = None):
     return added
 
 
-def form_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Played fixtures with the mean of own and opponent's form as the expected score."""
-    results = td.results(spark, sf_dir)
-    rows = form.recent_form(form.team_matches(results), (10,)).filter("games_used_10 > 0")
-    side = lambda h, c: F.max(F.when(F.col("is_home") == h, F.col(c)))
-    wide = rows.groupBy("fixture_id").agg(F.count("*").alias("n"), *[side(h, f"avg_{c}_10").alias(f"{c}{h}") for h in (0, 1) for c in ("for", "against")]).filter("n = 2")
-    both = results.join(wide, "fixture_id")
-    return both.select("fixture_id", "season", "match_date", "home_team_id", "away_team_id", "home_score", "away_score", ((F.col("for1") + F.col("against0")) / 2).alias("expected_home"), ((F.col("for0") + F.col("against1")) / 2).alias("expected_away"))
-
-
 def seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.historical(td.results(spark, sf_dir), "2000-01-01", ["season"])
 
@@ -408,13 +398,10 @@ def _(spark, sf):
     return expected.fixture_factors(td.results(spark, sf))
 
 
-_EH, _EA = "league_average * ha * ad * home_factor", "league_average * aa * hd * away_factor"
-
-
 @query("g5_expected_scores", sql(f"SELECT s.fixture_id, {r(_EH, 'expected_home')}, {r(_EA, 'expected_away')}, {r(f'{_EH} - {_EA}', 'expected_margin')}, {r(f'{_EH} + {_EA}', 'expected_total')} FROM sides s JOIN factors USING (match_date) WHERE ha > 0 AND hd > 0 AND aa > 0 AND ad > 0 AND league_average > 0 AND home_factor > 0 AND away_factor > 0", "sides", "factors"))
 def _(spark, sf):
     results = td.results(spark, sf)
-    rows = expected.expected_scores(strength.strength(form.team_matches(results)), results)
+    rows = expected.expected_scores(rebuild.converged(spark, sf), results)
     return rows.select("fixture_id", "expected_home", "expected_away", "expected_margin", "expected_total")
 
 
@@ -436,7 +423,7 @@ def _(spark, sf):
 @query("g6_expected_table", sql(f"SELECT s.fixture_id, s.match_date, season, home_team_id, away_team_id, {r(_EH, 'expected_home')}, {r(_EA, 'expected_away')}, {r(f'{_EH} - {_EA}', 'expected_margin')} FROM sides s JOIN factors USING (match_date) JOIN (SELECT fixture_id, season, home_team_id, away_team_id FROM results) USING (fixture_id) WHERE ha > 0 AND hd > 0 AND aa > 0 AND ad > 0 AND league_average > 0 AND home_factor > 0 AND away_factor > 0 UNION ALL SELECT 'gone', NULL, NULL, 1, NULL, NULL, NULL, 7.0", "sides", "factors", "results"))
 def _(spark, sf):
     results = td.results(spark, sf)
-    power = written(strength.strength(form.team_matches(results)), "strength")
+    power = rebuild.converged(spark, sf)
     stale = expected.expected_scores(power, results).filter("fixture_id LIKE '1997%'").select("fixture_id", F.lit(-1).alias("home_team_id"), F.lit(7.0).alias("expected_margin"))
     known = stale.unionByName(spark.sql("SELECT 'gone' fixture_id, 1 home_team_id, 7D expected_margin"))
     return rebuild.expected_table(results, power, known).select("fixture_id", "match_date", "season", "home_team_id", "away_team_id", "expected_home", "expected_away", "expected_margin")
@@ -714,12 +701,12 @@ def _(spark, sf):
 
 @query("k2_absolute_errors", sql(f"SELECT {r('avg(abs(home_score - expected_home))', 'home')}, {r('avg(abs(away_score - expected_away))', 'away')}, {r('avg(abs(home_score - away_score - expected_home + expected_away))', 'margin')}, {r('avg(abs(home_score + away_score - expected_home - expected_away))', 'total')} FROM fe", "fe"))
 def _(spark, sf):
-    return backtest.mean_absolute_errors(backtest.evaluation_set(form_expectations(spark, sf)))
+    return backtest.mean_absolute_errors(backtest.evaluation_set(rebuild.expectations(spark, sf)))
 
 
 @query("k3_split_date", sql("SELECT match_date AS start FROM (SELECT match_date, row_number() OVER (ORDER BY match_date) - 1 i, count(*) OVER () n FROM (SELECT DISTINCT match_date FROM fe)) WHERE i = floor(n * 0.75)", "fe"))
 def _(spark, sf):
-    return backtest.split_date(form_expectations(spark, sf))
+    return backtest.split_date(rebuild.expectations(spark, sf))
 
 
 _EVENTS = """e.fixture_id, e.season, ah, aa, tl, ml, sum(CASE WHEN p.home_score = ah AND p.away_score = aa THEN p ELSE 0 END) s, sum(CASE WHEN p.home_score > p.away_score THEN p ELSE 0 END) h, sum(CASE WHEN p.home_score = p.away_score THEN p ELSE 0 END) d,
@@ -751,7 +738,7 @@ _TD_BASE |= {"ev": ["fe"], "wf": ["ev"], "wp": ["wf"], "evh": ["wp"], "ph": ["ev
 
 def _evaluated(spark, sf):
     """All fixtures from the split date on."""
-    fixtures = form_expectations(spark, sf)
+    fixtures = rebuild.expectations(spark, sf)
     fixtures = fixtures.join(F.broadcast(backtest.split_date(fixtures)), F.col("match_date") >= F.col("start"))  # one row
     lines = {"ah": F.col("home_score"), "aa": F.col("away_score"), "total_line": F.floor(F.col("expected_home") + F.col("expected_away")) + 0.5, "margin_line": F.floor(F.col("expected_home") - F.col("expected_away")) + 0.5, "as_of": F.col("match_date")}
     asked = fixtures.withColumns(lines).select("fixture_id", "season", "as_of", "ah", "aa", "total_line", "margin_line", "expected_home", "expected_away")
@@ -820,7 +807,7 @@ def _(spark, sf):
 
 @query("l2_outliers", sql(f"SELECT outlier, count(*) AS n, {r('avg(residual)', 'mean')} FROM flag GROUP BY outlier", "flag"))
 def _(spark, sf):
-    return residuals.flagged(residuals.team_residuals(form_expectations(spark, sf))).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"))
+    return residuals.flagged(residuals.team_residuals(rebuild.expectations(spark, sf))).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"))
 
 
 CTES["treat"] = """SELECT *, expected + residual o_raw, expected + least(greatest(residual, -15), 15) o_capped, expected + CASE WHEN outlier THEN residual * 0.75 ELSE residual END o_shrunk,
@@ -830,7 +817,7 @@ _TD_BASE["treat"] = ["flag"]
 
 @query("l3_treatments", sql(f"SELECT fixture_id, team_id, outlier, {', '.join(r(f'o_{m}', f'observed_{m}') for m in residuals.METHODS)} FROM treat", "treat"))
 def _(spark, sf):
-    rows = residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf))))
+    rows = residuals.treated(residuals.flagged(residuals.team_residuals(rebuild.expectations(spark, sf))))
     return rows.select("fixture_id", "team_id", "outlier", *[f"observed_{m}" for m in residuals.METHODS])
 
 
@@ -845,24 +832,23 @@ _BOARD = " UNION ALL ".join(f"SELECT '{m}' AS method, count(*) AS n, {r(f'avg(p_
 
 @query("l5_leaderboard", sql(_BOARD, "pred"))
 def _(spark, sf):
-    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))))
+    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(rebuild.expectations(spark, sf)))))
     return residuals.leaderboard(rows).select("method", "n", "mean_predicted", "bias", "mae", "rmse", "correlation")
 
 
 @query("l7_after_outlier", sql(f"SELECT count(*) AS n, {r('avg(residual)', 'mean')} FROM (SELECT residual, lag(outlier, 1, false) OVER (PARTITION BY team_id ORDER BY match_date, fixture_id) was FROM flag) WHERE was", "flag"))
 def _(spark, sf):
-    return residuals.after_outlier(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))).agg(F.count("*").alias("n"), F.avg("residual").alias("mean"))
+    return residuals.after_outlier(residuals.flagged(residuals.team_residuals(rebuild.expectations(spark, sf)))).agg(F.count("*").alias("n"), F.avg("residual").alias("mean"))
 
 
 @query("l9_largest_residuals", sql(f"SELECT fixture_id, team_id, {r('residual', 'residual')} FROM res ORDER BY abs(residual) DESC, fixture_id, team_id LIMIT 30", "res"))
 def _(spark, sf):
-    return residuals.largest(residuals.team_residuals(form_expectations(spark, sf))).select("fixture_id", "team_id", "residual")
+    return residuals.largest(residuals.team_residuals(rebuild.expectations(spark, sf))).select("fixture_id", "team_id", "residual")
 
 
 def strength_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team rows of played fixtures: observed and expected score, attack, opponent's defence, all of the fixpoint."""
-    results = td.results(spark, sf_dir)
-    rows = expected.expected_scores(strength.strength(form.team_matches(results)), results).drop("match_date").join(results, "fixture_id")
+    rows = rebuild.expectations(spark, sf_dir)
 
     def side(own: str, other: str, home: int):
         return F.struct(
@@ -871,7 +857,7 @@ def strength_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     both = F.array(side("home", "away", 1), side("away", "home", 0))
-    return written(rows.select("fixture_id", "match_date", F.explode(both).alias("x")).select("fixture_id", "match_date", "x.*"), "strength-rows")
+    return rows.select("fixture_id", "match_date", F.explode(both).alias("x")).select("fixture_id", "match_date", "x.*")
 
 
 def _curve(x: str) -> str:
@@ -891,14 +877,12 @@ def _grid_sql(points: list[tuple[int, float, float, float]]) -> str:
 
 
 CTES |= {
-    "se": f"""SELECT r.*, {_EH} expected_home, {_EA} expected_away, ha, hd, aa, ad FROM (SELECT fixture_id, home_team_id, away_team_id, home_score, away_score FROM results) r JOIN sides USING (fixture_id) JOIN factors USING (match_date)
-        WHERE ha > 0 AND hd > 0 AND aa > 0 AND ad > 0 AND league_average > 0 AND home_factor > 0 AND away_factor > 0""".replace("SELECT r.*", "SELECT match_date, r.*"),
-    "sr": """SELECT fixture_id, match_date, home_team_id team_id, 1 is_home, home_score::DOUBLE observed, expected_home expected, ha attack, ad opponent_defence FROM se
-        UNION ALL SELECT fixture_id, match_date, away_team_id, 0, away_score::DOUBLE, expected_away, aa, hd FROM se""",
+    "sr": """SELECT fixture_id, match_date, home_team_id team_id, 1 is_home, home_score::DOUBLE observed, expected_home expected, home_attack attack, away_defence opponent_defence FROM fe
+        UNION ALL SELECT fixture_id, match_date, away_team_id, 0, away_score::DOUBLE, expected_away, away_attack, home_defence FROM fe""",
     "mg": _grid_sql(_GRID), "cg": _grid_sql(_CAPS),
     "mb": "SELECT point, cap_start, max_edit, rate FROM mg ORDER BY round(mae, 9), round(rmse * rmse, 9), round(abs(bias), 9), point LIMIT 1",
 }
-_TD_BASE |= {"se": ["sides", "factors", "results"], "sr": ["se"], "mg": ["sr"], "cg": ["sr"], "mb": ["mg"]}
+_TD_BASE |= {"sr": ["fe"], "mg": ["sr"], "cg": ["sr"], "mb": ["mg"]}
 _GRID_COLUMNS = "point, n, " + ", ".join(r(c, c) for c in ("cap_start", "max_edit", "rate", "bias", "mae", "rmse", "mae_change", "mae_change_percent"))
 
 
@@ -918,7 +902,7 @@ def _(spark, sf):
 
 @query("m3_score_metrics", sql(" UNION ALL ".join(f"SELECT '{s}' AS sample, count(*) AS n, {r('avg(expected - observed)', 'bias')}, {r('avg(abs(expected - observed))', 'mae')}, {r('corr(expected, observed)', 'correlation')} FROM res WHERE {c}" for s, c in (("home", "is_home = 1"), ("away", "is_home = 0"), ("all", "true"))), "res"))
 def _(spark, sf):
-    return residuals.score_metrics(residuals.team_residuals(form_expectations(spark, sf)).withColumnRenamed("expected", "predicted")).select("sample", "n", "bias", "mae", "correlation")
+    return residuals.score_metrics(residuals.team_residuals(rebuild.expectations(spark, sf)).withColumnRenamed("expected", "predicted")).select("sample", "n", "bias", "mae", "correlation")
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -928,39 +912,39 @@ _DESC = " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, {r(f'avg({c}
 
 @query("n1_describe", sql(_DESC, "fe"))
 def _(spark, sf):
-    return reports.describe(form_expectations(spark, sf), ["expected_home", "expected_away"])
+    return reports.describe(rebuild.expectations(spark, sf), ["expected_home", "expected_away"])
 
 
 @query("n2_histogram", sql(" UNION ALL ".join(f"SELECT '{c}' AS name, least(floor(({c} - lo) / ((hi - lo) / 30)) + 1, 30)::INTEGER AS bin, count(*) AS n FROM fe, (SELECT min({c}) lo, max({c}) hi FROM fe) GROUP BY 2" for c in ("expected_home", "expected_away")), "fe"))
 def _(spark, sf):
-    return reports.histogram(form_expectations(spark, sf), ["expected_home", "expected_away"])
+    return reports.histogram(rebuild.expectations(spark, sf), ["expected_home", "expected_away"])
 
 
 @query("n3_extremes", sql(f"SELECT * FROM (SELECT fixture_id, {r('expected_home - expected_away', 'margin')}, 'high' AS \"end\" FROM fe ORDER BY expected_home - expected_away DESC, fixture_id LIMIT 5) UNION ALL SELECT * FROM (SELECT fixture_id, {r('expected_home - expected_away', 'margin')}, 'low' FROM fe ORDER BY expected_home - expected_away, fixture_id LIMIT 5)", "fe"))
 def _(spark, sf):
-    rows = form_expectations(spark, sf).select("fixture_id", (F.col("expected_home") - F.col("expected_away")).alias("margin"))
+    rows = rebuild.expectations(spark, sf).select("fixture_id", (F.col("expected_home") - F.col("expected_away")).alias("margin"))
     return reports.extremes(rows, "margin", "fixture_id")
 
 
 @query("n4_named", sql("SELECT fixture_id, h.s_name AS home_name, a.s_name AS away_name FROM fe LEFT JOIN supplier h ON h.s_suppkey = home_team_id LEFT JOIN supplier a ON a.s_suppkey = away_team_id", "fe"))
 def _(spark, sf):
     teams = td.table(spark, sf, "supplier").selectExpr("s_suppkey team_id", "s_name")
-    return reports.named(form_expectations(spark, sf), teams, "s_name").select("fixture_id", "home_name", "away_name")
+    return reports.named(rebuild.expectations(spark, sf), teams, "s_name").select("fixture_id", "home_name", "away_name")
 
 
 @query("n5_team_points", sql(f"SELECT team_id, count(*) AS n, {r('avg(x)', 'mean')}, {r('quantile_cont(x, 0.5)', 'median')}, {r('max(x)', 'most')} FROM (SELECT home_team_id team_id, expected_home x FROM fe UNION ALL SELECT away_team_id, expected_away FROM fe) GROUP BY team_id", "fe"))
 def _(spark, sf):
-    return reports.team_points(form_expectations(spark, sf))
+    return reports.team_points(rebuild.expectations(spark, sf))
 
 
 @query("n6_errors", sql(f"SELECT {r('avg(h)', 'home_error')}, {r('avg(abs(h))', 'home_mae')}, {r('avg(a)', 'away_error')}, {r('avg(abs(a))', 'away_mae')}, {r('avg(h - a)', 'margin_error')}, {r('avg(abs(h - a))', 'margin_mae')}, {r('avg(h + a)', 'total_error')}, {r('avg(abs(h + a))', 'total_mae')} FROM (SELECT home_score - expected_home h, away_score - expected_away a FROM fe)", "fe"))
 def _(spark, sf):
-    return reports.errors(form_expectations(spark, sf))
+    return reports.errors(rebuild.expectations(spark, sf))
 
 
 @query("n8_predicate_view", sql(f"SELECT fixture_id, {r('expected_home + expected_away', 'total')} FROM fe WHERE (home_team_id = 3 OR away_team_id = 3) AND season >= 1995 AND expected_home + expected_away >= 55", "fe"))
 def _(spark, sf):
-    rows = form_expectations(spark, sf).withColumn("total", F.col("expected_home") + F.col("expected_away"))
+    rows = rebuild.expectations(spark, sf).withColumn("total", F.col("expected_home") + F.col("expected_away"))
     return rows.filter("(home_team_id = 3 OR away_team_id = 3) AND season >= 1995 AND total >= 55").select("fixture_id", "total")
 
 
@@ -1057,16 +1041,15 @@ def _(spark, sf):
     return backtest.summary(_swept(spark, sf).filter("weight IN (0, 70, 80, 100)"), ["weight"])
 
 
-@query("l4_recent_ratio", sql(f"SELECT fixture_id, team_id, {', '.join(r(f'p_{m} + 1.23e-8', f'predicted_{m}') for m in residuals.METHODS)} FROM pred", "pred"))
+@query("l4_recent_ratio", sql(f"SELECT fixture_id, team_id, {', '.join(r(f'p_{m}', f'predicted_{m}') for m in residuals.METHODS)} FROM pred", "pred"))
 def _(spark, sf):
-    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))))
-    # Many values are exact binary fractions halfway between two roundings; both engines move off the tie.
-    return rows.select("fixture_id", "team_id", *[(F.col(f"predicted_{m}") + 1.23e-8).alias(f"predicted_{m}") for m in residuals.METHODS])
+    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(rebuild.expectations(spark, sf)))))
+    return rows.select("fixture_id", "team_id", *[f"predicted_{m}" for m in residuals.METHODS])
 
 
 @query("l6_gain_on_raw", sql("SELECT method, " + r("(SELECT mae FROM b WHERE method = 'raw') - mae", "gain") + " FROM b", "pred").replace("\nSELECT method, ", ",\nb AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, avg(abs(p_{m} - observed)) mae FROM pred WHERE p_{m} IS NOT NULL" for m in residuals.METHODS) + ")\nSELECT method, "))
 def _(spark, sf):
-    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(form_expectations(spark, sf)))))
+    rows = residuals.predictions(residuals.treated(residuals.flagged(residuals.team_residuals(rebuild.expectations(spark, sf)))))
     return residuals.leaderboard(rows).select("method", "gain")
 
 
@@ -1093,14 +1076,14 @@ def _(spark, sf):
 
 @query("n7_largest_misses", sql(" UNION ALL ".join(f"SELECT * FROM (SELECT fixture_id, {r('t', 'total_error')}, {r('m', 'margin_error')}, '{n}' AS \"by\" FROM (SELECT fixture_id, home_score - expected_home + away_score - expected_away t, home_score - expected_home - away_score + expected_away m FROM fe) ORDER BY round(abs({c}), 9) DESC, fixture_id LIMIT 5)" for n, c in (("total_error", "t"), ("margin_error", "m"))), "fe"))
 def _(spark, sf):
-    return reports.largest_misses(form_expectations(spark, sf))
+    return reports.largest_misses(rebuild.expectations(spark, sf))
 
 
-@query("n9_prediction_report", sql("SELECT fixture_id, match_date, h.s_name AS home_name, a.s_name AS away_name, round(expected_home + 1.23e-8, 2) + 0.0 AS expected_home, round(expected_away + 1.23e-8, 2) + 0.0 AS expected_away FROM fe JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id", "fe"))
+@query("n9_prediction_report", sql("SELECT fixture_id, match_date, h.s_name AS home_name, a.s_name AS away_name, round(expected_home, 2) + 0.0 AS expected_home, round(expected_away, 2) + 0.0 AS expected_away FROM fe JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id", "fe"))
 def _(spark, sf):
     teams = td.table(spark, sf, "supplier").selectExpr("s_suppkey team_id", "s_name")
-    rows = reports.named(form_expectations(spark, sf), teams, "s_name")
-    return rows.select("fixture_id", "match_date", "home_name", "away_name", *[F.round(F.col(f"expected_{s}") + 1.23e-8, 2).alias(f"expected_{s}") for s in ("home", "away")])
+    rows = reports.named(rebuild.expectations(spark, sf), teams, "s_name")
+    return rows.select("fixture_id", "match_date", "home_name", "away_name", *[F.round(f"expected_{s}", 2).alias(f"expected_{s}") for s in ("home", "away")])
 
 
 @query("n11_details", sql("SELECT fixture_id, h.s_name AS home_name, a.s_name AS away_name FROM results JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id UNION ALL SELECT fixture_id, NULL, NULL FROM future", "results", "future"))

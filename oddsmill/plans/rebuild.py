@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddsmill.operators import distributions, expected, form, integrity, markets, strength, upsert
 from oddsmill.sources import tables
 from oddsmill.sources import testdata as td
-from oddsmill.sources.storage import written
+from oddsmill.sources.storage import kept, written
 
 MAX_SCORE = 100
 
@@ -36,11 +36,31 @@ def _rows(name: str, made: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows if known is None else upsert.upsert(tables.conformed(known, name), rows.withColumn("_n", F.lit(1)), tables.KEYS[name], "_n")
 
 
+def _of_matches(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table of the played matches, written once an application while their files stay as they are."""
+    return kept(f"{name}|{strength.PASSES}|{strength.TOLERANCE}", [td.table(spark, sf_dir, t) for t in ("orders", "lineitem")], make)
+
+
+def converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength of every team before every match, iterated to the fixpoint."""
+    return _of_matches(spark, sf_dir, "strength", lambda: strength.strength(form.team_matches(td.results(spark, sf_dir))))
+
+
+def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Played fixtures with teams, scores, factors, scaled multipliers and expected scores."""
+    results = td.results(spark, sf_dir)
+
+    def make() -> DataFrame:
+        scores = expected.expected_scores(converged(spark, sf_dir), results).drop("match_date")
+        return scores.join(results.drop("source_match_id", "status"), "fixture_id")
+
+    return _of_matches(spark, sf_dir, "expectations", make)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = td.results(spark, sf_dir)
     integrity.report(*integrity.results_rules(results), strict=True)
-    power, _ = features(results)
-    return expected.predictions(td.future(spark, sf_dir), power, results, td.AS_OF)
+    return expected.predictions(td.future(spark, sf_dir), converged(spark, sf_dir), results, td.AS_OF)
 
 
 def priced(fixtures: DataFrame, base: DataFrame, max_score: int = MAX_SCORE) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from oddsmill.functions import rating as fx
 from oddsmill.operators import backtest, distributions, expected, form, integrity, keys, lineups, markets, residuals, season_log, strength, upsert
-from oddsmill.plans.catalog import _CURVE, _KEY, _MATCH, _swept, form_expectations, query, r, seasonal, sql
+from oddsmill.plans import rebuild
+from oddsmill.plans.catalog import _CURVE, _KEY, _MATCH, _swept, query, r, seasonal, sql
 from oddsmill.sources import tables
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import shared_dir
@@ -163,10 +164,10 @@ def _(spark, sf):
     return rows.select("fixture_id", "team_id", of("for").alias("shrunk_for"), of("against").alias("shrunk_against"))
 
 
-@query("e4_capped_curve", sql(f"SELECT fixture_id, team_id, {r(_CURVE.replace('x', 'ra') + ' + 1.23e-8', 'attack')}, {r(_CURVE.replace('x', 'rd') + ' + 1.23e-8', 'defence')} FROM raw", "raw"))
+@query("e4_capped_curve", sql(f"SELECT fixture_id, team_id, {r(_CURVE.replace('x', 'ra'), 'attack', 9)}, {r(_CURVE.replace('x', 'rd'), 'defence', 9)} FROM raw", "raw"), digits=9)
 def _(spark, sf):
-    # Some values lie halfway between two roundings; both engines move off the tie.
-    return _raw(spark, sf).select("fixture_id", "team_id", *[(fx.capped_curve(F.col(f"raw_{c}")) + 1.23e-8).alias(c) for c in ("attack", "defence")])
+    # Some values lie halfway between two roundings to six digits.
+    return _raw(spark, sf).select("fixture_id", "team_id", *[fx.capped_curve(F.col(f"raw_{c}")).alias(c) for c in ("attack", "defence")])
 
 
 @query("e7_adjusted_points", sql(f"SELECT s.fixture_id, s.team_id, {r('s.points_for / coalesce(o.d, 1.0)', 'adjusted_for')}, {r('s.points_against / coalesce(o.a, 1.0)', 'adjusted_against')} FROM st0 s LEFT JOIN st0 o ON o.fixture_id = s.fixture_id AND o.team_id = s.opponent_id", "st0"))
@@ -304,14 +305,14 @@ def _(spark, sf):
 
 @query("k1_evaluation_set", sql(f"SELECT fixture_id, home_score, away_score, {r('expected_home', 'expected_home')} FROM fe WHERE season <> 1996 AND home_score >= 5", "fe"))
 def _(spark, sf):
-    rows = form_expectations(spark, sf).withColumns({"home_score": F.when(F.col("season") == 1996, F.lit("none")).otherwise(F.col("home_score").cast("string")), "away_score": F.when(F.col("home_score") < 5, F.lit(-1)).otherwise(F.col("away_score"))})
+    rows = rebuild.expectations(spark, sf).withColumns({"home_score": F.when(F.col("season") == 1996, F.lit("none")).otherwise(F.col("home_score").cast("string")), "away_score": F.when(F.col("home_score") < 5, F.lit(-1)).otherwise(F.col("away_score"))})
     return backtest.evaluation_set(rows).select("fixture_id", "home_score", "away_score", "expected_home")
 
 
 @query("k1_joined_evaluation", sql(f"SELECT fixture_id, season, match_date, h.s_name AS home_team, a.s_name AS away_team, home_score, away_score, {r('expected_home', 'expected_home')}, {r('expected_away', 'expected_away')} FROM fe JOIN supplier h ON h.s_suppkey = home_team_id JOIN supplier a ON a.s_suppkey = away_team_id WHERE h.s_suppkey % 9 > 0 AND a.s_suppkey % 9 > 0", "fe"))
 def _(spark, sf):
     teams = td.table(spark, sf, "supplier").filter("s_suppkey % 9 > 0").selectExpr("s_suppkey team_id", "s_name canonical_name")
-    rows = backtest.joined_evaluation(td.results(spark, sf), form_expectations(spark, sf), td.view(spark, sf, "matches"), teams)
+    rows = backtest.joined_evaluation(td.results(spark, sf), rebuild.expectations(spark, sf), td.view(spark, sf, "matches"), teams)
     return backtest.evaluation_set(rows).drop("home_team_id", "away_team_id")
 
 
@@ -322,7 +323,7 @@ def _(spark, sf):
 
 @query("l1_team_residuals", sql(f"SELECT fixture_id, team_id, is_home, observed, {r('expected', 'expected')}, {r('residual', 'residual')} FROM res", "res"))
 def _(spark, sf):
-    return residuals.team_residuals(form_expectations(spark, sf)).select("fixture_id", "team_id", "is_home", "observed", "expected", "residual")
+    return residuals.team_residuals(rebuild.expectations(spark, sf)).select("fixture_id", "team_id", "is_home", "observed", "expected", "residual")
 
 
 _CAP = "(1 + sign(ra - 1) * 0.25 * (2 * least(abs(ra - 1) / 0.5, 1) - least(abs(ra - 1) / 0.5, 1) * least(abs(ra - 1) / 0.5, 1)))"
@@ -340,5 +341,5 @@ _BY_CURVE = f"({_CURVE.replace('x', 'o.rd')}) / o.rd"
 def _(spark, sf):
     raw = _raw(spark, sf)
     other = raw.select("fixture_id", F.col("team_id").alias("opponent_id"), F.col("raw_defence").alias("opponent_defence"))
-    rows = residuals.team_residuals(form_expectations(spark, sf)).join(raw.select("fixture_id", "team_id", "opponent_id", F.col("raw_attack").alias("attack")), ["fixture_id", "team_id"]).join(other, ["fixture_id", "opponent_id"])
+    rows = residuals.team_residuals(rebuild.expectations(spark, sf)).join(raw.select("fixture_id", "team_id", "opponent_id", F.col("raw_attack").alias("attack")), ["fixture_id", "team_id"]).join(other, ["fixture_id", "opponent_id"])
     return residuals.repriced(rows.filter("attack > 0 AND opponent_defence > 0")).select("fixture_id", "team_id", "predicted")

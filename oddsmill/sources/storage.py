@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +45,32 @@ def discard(table: DataFrame) -> None:
     if path:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def files_digest(*sources: DataFrame) -> str:
+    """Count and sum of hashes of path, size and time of change of all files that the tables are read from."""
+    columns = [F.col(f"_metadata.file_{c}").alias(c) for c in ("path", "size", "modification_time")]
+    files = reduce(DataFrame.unionByName, [s.select(*columns).distinct() for s in sources])
+    row = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{row.n}:{row.h}"
+
+
+def kept(name: str, sources: list[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written once an application for the same files of ``sources``.
+
+    ``name`` tells tables of the same sources apart, parameters included.  If a file of the
+    sources has changed, or the written table is gone, it is made again.
+    """
+    spark = sources[0].sparkSession
+    key = (spark.sparkContext.applicationId, name, files_digest(*sources))
+    known = _KEPT.get(key)
+    if known is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{known._written_at}/_SUCCESS")
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return spark.read.schema(known.schema).parquet(known._written_at)
+    _KEPT[key] = written(make(), name.split("|")[0])
+    return _KEPT[key]
+
+
+#: Written tables by application, name and files of the sources.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from oddsmill.operators import backtest
-from oddsmill.plans import catalog
+from oddsmill.plans import catalog, rebuild
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -13,7 +13,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def test_evaluation_begins_at_the_split_date(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
-    rows = [(r.fixture_id, r.match_date) for r in catalog.form_expectations(spark, SF).select("fixture_id", "match_date").collect()]
+    rows = [(r.fixture_id, r.match_date) for r in rebuild.expectations(spark, SF).select("fixture_id", "match_date").collect()]
     dates = sorted({d for _, d in rows})
     start = dates[len(dates) * 3 // 4]
     asked = catalog._evaluated(spark, SF).select("fixture_id", "as_of").collect()
