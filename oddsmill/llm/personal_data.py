@@ -20,6 +20,8 @@ the text; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ SUPPORT = 3
 GENERALISE, REMOVE = 0.5, 0.9
 BITS = 3.0
 TERM = r"\p{L}{3,}"
-#: Matches whose places are added up together, and copies of each disclosing term in the join with its texts.
+#: Matches whose places are added up together, and copies of each entity and disclosing term in the join with its texts.
 BLOCK, SALTS = 64, 16
 
 # Possessive forms of the contract's patterns.  A match may begin where the last one ended or where its
@@ -112,17 +114,32 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(both, lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(x["kind"] - y["kind"]))
 
 
-def _overlaps(own: Column, p: Column) -> Column:
-    """Whether one of the spans ``own`` (in order, none in another) holds a part of ``p``, by binary search."""
+def _searched(own: Column, before: Callable[[Column], Column], done: Callable[[Column], Column]) -> Column:
+    """``done`` of the place of the first element of the ordered ``own`` that is not ``before``, by binary search."""
     start = F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi"))
 
     def half(acc: Column, _: Column) -> Column:
         mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-        before = F.get(own, mid)["s"] < p["e"]
-        return F.when(acc["lo"] < acc["hi"], F.struct(F.when(before, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(before, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
+        low = before(F.get(own, mid))
+        return F.when(acc["lo"] < acc["hi"], F.struct(F.when(low, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
 
     steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(own) + F.lit(1.0))).cast("int"))
-    return (F.size(own) > 0) & F.aggregate(steps, start, half, lambda acc: F.coalesce(F.get(own, acc["lo"] - 1)["e"] > p["s"], F.lit(False)))
+    return F.aggregate(steps, start, half, lambda acc: done(acc["lo"]))
+
+
+def _overlaps(own: Column, p: Column) -> Column:
+    """Whether one of the spans ``own`` (in order, none in another) holds a part of ``p``."""
+    return (F.size(own) > 0) & _searched(own, lambda x: x["s"] < p["e"], lambda lo: F.coalesce(F.get(own, lo - 1)["e"] > p["s"], F.lit(False)))
+
+
+def _disclosure(told: Column, t: Column) -> Column:
+    """``p`` of the term ``t`` among the structs (t, p) of ``told``, which are in order; else NULL."""
+
+    def of(lo: Column) -> Column:
+        x = F.get(told, lo)
+        return F.when(x["t"] == t, x["p"])
+
+    return _searched(told, lambda x: x["t"] < t, of)
 
 
 def free_terms(text: Column, spans: Column) -> Column:
@@ -165,7 +182,9 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     # As p <= 1, an entity in more texts than this has no term of BITS bits.
     entities = entities.join(F.broadcast(total)).filter(F.col("with_entity") * 2**BITS <= F.col("texts"))  # one row
     held = base.select("text_id", "terms").dropDuplicates(["text_id"])
-    pairs = carried.join(entities, ["kind", "v"]).join(held, "text_id").select("kind", "v", "with_entity", "texts", F.explode("terms").alias("t"))
+    # Salted: an entity may stand in an eighth of all texts.
+    met = with_salt(carried, "text_id", SALTS).join(replicated(entities, SALTS), ["kind", "v", "salt"])
+    pairs = met.join(held, "text_id").select("kind", "v", "with_entity", "texts", F.explode("terms").alias("t"))
     pairs = materialise(pairs.groupBy("kind", "v", "with_entity", "texts", "t").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT), "term-pairs")
     terms = materialise(pairs.select("t").distinct(), "terms")
     # The exact join comes after the counting: one row a term instead of one a text and term.
@@ -181,10 +200,10 @@ def marked(docs: DataFrame, base: DataFrame, told: DataFrame) -> DataFrame:
     words = maybe_in(docs.select("doc_id", F.explode(distinct_terms(F.col("text"))).alias("t")), marks.select("t"), key="t")
     # Salted: a term may be told in up to a quarter of the texts, and copies of a text count again here.
     met = with_salt(words, "doc_id", SALTS).join(replicated(marks, SALTS), ["t", "salt"])
-    lists = materialise(met.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("t", "p"))).alias("p")), "marked")
+    lists = materialise(met.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("t", "p"))).alias("told")), "marked")
     rows = maybe_in(docs, lists).join(lists, "doc_id").dropDuplicates(["doc_id"]).join(base.select("doc_id", "spans").dropDuplicates(["doc_id"]), "doc_id")
-    told_here = F.filter(free_terms(F.col("text"), F.col("spans")), lambda x: F.map_contains_key("p", x["t"]))
-    return rows.select("doc_id", F.transform(told_here, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at("p", x["t"]).alias("p"))).alias("terms"))
+    places = F.transform(free_terms(F.col("text"), F.col("spans")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _disclosure(F.col("told"), x["t"]).alias("p")))
+    return rows.select("doc_id", F.filter(places, lambda x: x["p"].isNotNull()).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
