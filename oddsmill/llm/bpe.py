@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from oddsmill.llm.common import texts
 
 LEAF = 512
-WINDOW = 64
+WINDOW = 32
 LOOKAHEAD = 3
 SLICE = 256
 _GAP = regex.compile(r"(?<=\S)(?=\s)")
@@ -68,21 +68,36 @@ class TreeBpe:
         size = self.window
         while True:
             stop = min(end, mid + size)
-            own = [mid] + [m.end() for m in self.split.finditer(text, mid, stop)]
-            seam = [m.end() for m in self.split.finditer(text, drop_from, stop)]
             # Borders near the end of a cut window may still move.
-            sure = stop if stop == end else stop - LOOKAHEAD
-            common = sorted(set(b for b in own if b <= sure) & set(b for b in seam if b <= sure))
-            if common or stop == end:
+            matches, meet = self._meeting(text, drop_from, mid, stop, stop if stop == end else stop - LOOKAHEAD)
+            if meet is not None or stop == end:
                 break
             size *= 2
-        meet = common[0] if common else end
+        if meet is None:
+            meet = end
         # Each match on its own: a window cut at ``meet`` would look like the end of the text.
-        middle = [i for m in self.split.finditer(text, drop_from, stop) if m.end() <= meet for i in self.enc.encode_ordinary(m.group())]
+        middle = [i for m in matches for i in self.enc.encode_ordinary(m.group())]
         dropped = self._tokens_of(reversed(left), len(text[drop_from:mid].encode()))
         skipped = self._tokens_of(right, len(text[mid:meet].encode()))
         return left[: len(left) - dropped] + middle + right[skipped:]
 
+    def _meeting(self, text: str, drop_from: int, mid: int, stop: int, sure: int) -> tuple[list, int | None]:
+        """Matches from ``drop_from`` up to the first border, at most ``sure``, that the split from ``mid`` has too; and that border.
+
+        Both splits go on in turn and end there, mostly within a few matches.
+        """
+        own = (m.end() for m in self.split.finditer(text, mid, stop))
+        border, matches = mid, []
+        for m in self.split.finditer(text, drop_from, stop):
+            if m.end() > sure:
+                break
+            matches.append(m)
+            while border is not None and border < m.end():
+                border = next(own, None)
+            if border == m.end():
+                return matches, border
+        return matches, None
+
     def _final_border(self, text: str, start: int, mid: int, left: list[int]) -> int:
         """The last pre-token border of ``text[start:mid]`` that no text after ``mid`` can move.
 
