@@ -143,3 +143,12 @@ def test_one_text_with_many_spans(spark):
     assert got == {3000: sum(k % 300 <= 255 for k in range(3000)), 1: 0}
     free = spark.createDataFrame([(text,)], "t string").select(pd_.free_terms(F.col("t"), pd_.base_spans(F.col("t"))).alias("f")).first().f
     assert len(free) == 6000 and {x.t for x in free} == {"word", "tail"}
+
+
+def test_disclosure_is_found_in_long_lists(spark):
+    told = sorted((f"t{k * 7 % 2000:04d}é", k / 2000) for k in range(0, 2000, 3))
+    asked = [t for t, _ in told] + ["", "a", "t0001", "zz", "é"]
+    rows = spark.createDataFrame([(told, t) for t in asked] + [([], "a")], "told array<struct<t:string,p:double>>, t string")
+    got = rows.select("t", F.size("told").alias("n"), pd_._disclosure(F.col("told"), F.col("t")).alias("p")).collect()
+    known = dict(told)
+    assert all(r.p == (known.get(r.t) if r.n else None) for r in got) and sum(r.p is not None for r in got) == len(told)
