@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import DataType, MapType, VariantType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,6 +92,38 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(row_id().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def clashing(rows: DataFrame, *what: str) -> DataFrame:
+    """The ``doc_id`` that stand for more than one value of ``what`` in ``rows``, as a written table."""
+    seen = rows.select("doc_id", F.xxhash64(*what).alias("t")).groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    return materialise(seen.filter("lo < hi").select("doc_id"), "clashing")
+
+
+def told_apart(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text, own, row``: the rows of ``docs`` by names that stand for one text each.
+
+    A row whose ``row_id`` is in ``ids`` is named by a hash of it and the text, any other by
+    its ``row_id``; ``own`` is the ``row_id``, ``row`` has all columns.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = lambda rows, name: rows.select(name.alias("doc_id"), text.alias("text"), row_id().alias("own"), F.struct(*docs.columns).alias("row"))
+    one, many = parted(docs, ids)
+    return materialise(named(one, row_id()).unionByName(named(many, F.xxhash64(row_id(), text))), "apart")
+
+
+def owned(found: DataFrame, apart: DataFrame, group: str) -> DataFrame:
+    """``found`` (doc_id, group, ...) over the rows ``apart``, with ``own`` and the first (own, doc_id) of the group in ``first``."""
+    own = materialise(apart.select("doc_id", "own").distinct(), "own")
+    named = materialise(found.join(own, "doc_id"), "named")
+    firsts = materialise(named.groupBy(group).agg(F.min(F.struct("own", "doc_id")).alias("first")), "group-firsts")
+    return named.join(firsts, group)
+
+
+def in_ids(found: DataFrame, apart: DataFrame, group: str) -> DataFrame:
+    """``found`` (doc_id, group, kept, ...) over the rows ``apart``, in the documents' own ids; a group has its least."""
+    put = {"doc_id": F.col("own"), group: F.col("first.own"), "kept": F.col("own") == F.col("first.own")}
+    return owned(found, apart, group).select(*[put.get(c, F.col(c)).alias(c) for c in found.columns])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -159,11 +191,15 @@ def without(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFr
     return parted(docs, ids, most_bits)[0]
 
 
+def _unhashable(kind: DataType) -> bool:
+    return any(name in kind.simpleString() for name in (MapType.typeName(), VariantType.typeName()))
+
+
 def kept_once(docs: DataFrame, found: DataFrame, text: Column, name: str) -> DataFrame:
     """The rows of ``docs`` that ``found`` (doc_id, kept; a row for each) keeps, in all their columns.
 
-    Of rows with one ``doc_id`` and an equal ``text`` one stays, whichever has the least
-    hash of its columns.
+    ``doc_id`` stands for one text (else see ``kept_apart``).  Of rows with one ``doc_id`` and
+    an equal ``text`` one stays, whichever has the least hash of its columns.
     """
     found = materialise(found.select("doc_id", "kept"), name)
     rows = without(docs, materialise(found.filter("not kept").select("doc_id").distinct(), f"{name}-gone"))
@@ -171,11 +207,17 @@ def kept_once(docs: DataFrame, found: DataFrame, text: Column, name: str) -> Dat
     if repeated.isEmpty():
         return rows
     once, again = parted(rows, repeated)
-    plain = [F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, (MapType, VariantType)) else F.col(c) for c in docs.columns]
+    plain = [F.to_json(F.struct(c)) if _unhashable(docs.schema[c].dataType) else F.col(c) for c in docs.columns]
     one = again.groupBy(row_id().alias("i"), F.sha2(text, 256).alias("t")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("one"))
     return once.unionByName(one.select("one.*"))
 
 
+def kept_apart(apart: DataFrame, found: DataFrame, group: str, text: Column, name: str) -> DataFrame:
+    """``kept_once`` for rows ``told_apart``: of each ``group`` in ``found`` the row with the least ``own`` stays."""
+    first = owned(found, apart, group).select("doc_id", (F.col("doc_id") == F.col("first.doc_id")).alias("kept"))
+    return kept_once(apart, first, text, name).select("row.*")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,9 +12,9 @@ document.
 Edge cases: a null text counts as empty, and empty texts are equal to each
 other; a row that occurs twice (same ``doc_id`` and text) yields two equal output
 rows and counts twice in ``group_size``, and ``drop_duplicates`` keeps one of them; a
-null ``doc_id`` is named by a hash of the text; ``doc_id`` must not stand for two
-different texts; an empty table gives an empty result; other columns are
-ignored.
+null ``doc_id`` is named by a hash of the text; rows of one ``doc_id`` with different texts
+are documents of their own, each in the group of its text; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import kept_once, materialise, maybe_in, texts
+from oddsmill.llm.common import clashing, in_ids, kept_apart, kept_once, materialise, maybe_in, texts, told_apart
 
 CHUNK = 1 << 16
 HUGE = 1 << 20
@@ -113,10 +113,8 @@ def _unequal(docs: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
     return both.filter(~F.col("chunk").eqNullSafe(F.col("first_chunk"))).select("doc_id").distinct()
 
 
-def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs`` (doc_id, text)."""
-    docs = texts(docs)
-    prints = materialise(fingerprints(docs, moduli, chunk), "fingerprints")
+def _grouped(docs: DataFrame, prints: DataFrame, chunk: int) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` where a ``doc_id`` stands for one text."""
     key = ["n_bytes", "f1", "f2"]
     left = prints.select("doc_id", "copies", *key)
     found = None
@@ -140,6 +138,24 @@ def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: i
     return out.withColumn("nth", one).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _found(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None]:
+    """The groups of ``docs``, and its rows ``told_apart`` where a ``doc_id`` stands for different texts."""
+    rows, apart = texts(docs), None
+    prints = materialise(fingerprints(rows, moduli, chunk), "fingerprints")
+    twice = clashing(prints, "text_sha256")
+    if not twice.isEmpty():
+        rows = apart = told_apart(docs, twice)
+        prints = materialise(fingerprints(rows, moduli, chunk), "fingerprints")
+    return _grouped(rows, prints, chunk), apart
+
+
+def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs`` (doc_id, text)."""
+    found, apart = _found(docs, moduli, chunk)
+    return found if apart is None else in_ids(found, apart, "keep_id")
+
+
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, in all their columns, that stay: one of each group of equal texts."""
-    return kept_once(docs, exact_duplicates(docs), normalised(), "exact-copies")
+    found, apart = _found(docs)
+    return kept_once(docs, found, normalised(), "exact-copies") if apart is None else kept_apart(apart, found, "keep_id", normalised(), "exact-copies")

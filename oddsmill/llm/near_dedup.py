@@ -21,8 +21,9 @@ partners or candidates.
 Edge cases: texts without words (null, empty, white space) have no shingle and are
 their own component; repeated rows share one class and one ``doc_id``, and
 ``drop_near_duplicates`` keeps one of them; a null ``doc_id`` is named by a hash of the
-text; texts of fewer than five words have one shingle; an empty table gives an empty
-result; other columns are ignored.
+text; rows of one ``doc_id`` whose texts differ in their shingles are documents of their own;
+texts of fewer than five words have one shingle; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from oddsmill.llm.common import kept_once, materialise, maybe_in, replaced, tasks, texts
+from oddsmill.llm.common import clashing, in_ids, kept_apart, kept_once, materialise, maybe_in, replaced, tasks, texts, told_apart
 from oddsmill.llm.components import components
 from oddsmill.llm.shingles import MinHash, mix, shingle_sets
 
@@ -242,10 +243,8 @@ def linked(docs: DataFrame, signs: DataFrame, classes: DataFrame, similar: int =
     return none if known is None else known
 
 
-def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    docs = texts(docs)
-    signs = materialise(signatures(docs, bands, rows, size), "signatures")
+def _grouped(docs: DataFrame, signs: DataFrame, similar: int, size: int, small: int, block: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` where a ``doc_id`` stands for one set."""
     groups = signs.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     slim = signs.select("doc_id", "n", "d1", "d2")
     classes = materialise(slim.join(materialise(groups, "classes"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
@@ -255,6 +254,26 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, b
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _found(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """The components of ``docs``, and its rows ``told_apart`` where a ``doc_id`` stands for different sets."""
+    own, apart = texts(docs), None
+    signs = materialise(signatures(own, bands, rows, size), "signatures")
+    twice = clashing(signs, "n", "d1", "d2")
+    if not twice.isEmpty():
+        own = apart = told_apart(docs, twice)
+        signs = materialise(signatures(own, bands, rows, size), "signatures")
+    return _grouped(own, signs, similar, size, small, block), apart
+
+
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    found, apart = _found(docs, similar, size, bands, rows, small, block)
+    return found if apart is None else in_ids(found, apart, "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, in all their columns, that stay: one of each component of near duplicates."""
-    return kept_once(docs, near_duplicates(docs), F.coalesce("text", F.lit("")), "near-copies")
+    # Rows of one doc_id that are not told apart share one set; only texts without words differ then.
+    (found, apart), text = _found(docs), F.coalesce("text", F.lit(""))
+    text = F.when(~text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("word"))
+    return kept_once(docs, found, text, "near-copies") if apart is None else kept_apart(apart, found, "component_id", text, "near-copies")

@@ -22,8 +22,9 @@ else in the corpus, the same document included; matches never cross documents.
 4. Marked ranges meet their document again and are cut out.
 
 Edge cases: a null text is empty; texts shorter than ``length`` bytes keep all of
-them; repeated rows are occurrences of their own; an empty table gives an empty
-result; other columns are ignored.
+them; repeated rows are occurrences of their own, and so are rows of one ``doc_id`` with
+different texts; a null ``doc_id`` is named by a hash of the text; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise, maybe_in, tasks, texts
+from oddsmill.llm.common import clashing, materialise, maybe_in, tasks, texts, told_apart
 from oddsmill.llm.shingles import mix
 
 LENGTH = 200
@@ -407,10 +408,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for every row of ``docs``."""
-    docs = texts(docs)
-    ranges = materialise(repeated_ranges(docs, length, gram, hot, block), "ranges")
+    rows = texts(docs)
+    twice = clashing(rows, "text")
+    docs = rows.withColumn("own", F.col("doc_id")) if twice.isEmpty() else told_apart(rows, twice).select("doc_id", "text", "own")
+    ranges = materialise(repeated_ranges(docs.select("doc_id", "text"), length, gram, hot, block), "ranges")
     lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    both = docs.join(lists, "doc_id", "left").select("doc_id", "text", "ranges.s", "ranges.e")
+    both = docs.join(lists, "doc_id", "left").select("own", "text", "ranges.s", "ranges.e")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

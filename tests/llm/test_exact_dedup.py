@@ -11,11 +11,11 @@ from oddsmill.llm import exact_dedup
 
 
 def brute(rows):
-    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
+    norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in rows]
     groups = defaultdict(list)
-    for i, _ in rows:
-        groups[norm[i]].append(i)
-    return sorted((i, min(groups[norm[i]]), len(groups[norm[i]]), i == min(groups[norm[i]]), hashlib.sha256(norm[i].encode()).hexdigest()) for i, _ in rows)
+    for i, t in norm:
+        groups[t].append(i)
+    return sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm)
 
 
 def rows_of(spark, rows, **how):
@@ -54,3 +54,18 @@ def test_huge_documents_take_the_dealt_path(spark):
 
 def test_empty_table(spark):
     assert rows_of(spark, []) == []
+
+
+SHARED_IDS = [(1, "a"), (1, "b"), (2, "b"), (3, "c"), (3, "a"), (4, "x y"), (4, "x  y"), (5, None), (5, "b"), (2, "b")]
+
+
+def test_one_doc_id_on_different_texts(spark):
+    assert rows_of(spark, SHARED_IDS) == brute(SHARED_IDS)
+
+
+def test_one_row_of_each_text_stays_under_shared_ids(spark):
+    docs = spark.createDataFrame([(i, t, {"k": n}) for n, (i, t) in enumerate(SHARED_IDS)], "doc_id long, text string, own map<string,int>")
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in kept.collect()]
+    assert sorted(got) == [(1, "a"), (1, "b"), (3, "c"), (4, "x y"), (5, "")]

@@ -88,3 +88,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (300, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 150: 100}
+
+
+def test_one_doc_id_on_different_texts(spark):
+    words = [f"w{k}" for k in range(80)]
+    near_words, other = [*words[:79], "x"], [f"v{k}" for k in range(80)]
+    rows = [(1, " ".join(words)), (1, " ".join(other)), (2, " ".join(near_words)), (3, " ".join(other[::-1])), (3, " ".join([*other[:79], "x"])), (4, None), (4, " "), (5, "a b"), (5, "A  b")]
+    assert near(spark, rows) == sorted([(1, 76, 1, True), (1, 76, 1, True), (2, 76, 1, False), (3, 76, 3, True), (3, 76, 1, False), (4, 0, 4, True), (4, 0, 4, True), (5, 1, 5, True), (5, 1, 5, True)])
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, own int")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, (r.text or "")[:2].lower().strip()) for r in kept.collect()) == [(1, "v0"), (1, "w0"), (3, "v7"), (4, ""), (4, ""), (5, "a")]

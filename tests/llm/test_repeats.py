@@ -83,3 +83,12 @@ def test_a_hot_passage_is_split_by_longer_anchors(spark):
     rows = [(k, text(50) + passage + text(50)) for k in range(40)] + [(100 + k, copy) for k in range(30)]
     rows += [(200 + k, copy[: 20 * k + 5] + "#" + copy[20 * k + 6 :]) for k in range(14)] + [(300 + k, "ab" * (40 + k)) for k in range(9)]
     assert found(spark, rows, length=30, gram=6, hot=4, block=500) == brute(rows, 30)
+
+
+def test_one_doc_id_on_different_texts(spark):
+    draw = random.Random(5)
+    text = lambda k: "".join(draw.choices("abcdefgh ", k=k))
+    passage = text(60)
+    rows = [(1, passage + text(300)), (1, text(350)), (2, text(20) + passage), (3, text(90)), (3, None), (3, text(90))]
+    rows.append((3, rows[3][1]))
+    assert found(spark, rows, length=30, gram=6) == brute(rows, 30)
