@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmill.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from oddsmill.llm.common import documents, replaced, scratch
+from oddsmill.llm.common import documents, replaced, scratch, small_batches
 from oddsmill.llm.language import held_out
 from oddsmill.llm.queries import BPE_RANKS
 
@@ -24,6 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows without ``doc_id`` or label are scored and not learnt from; all columns are
     returned as they are; an empty table stays empty.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit(docs, labels.filter(~held_out(5, 0)))
     return docs.filter(quality.scores_of(model, spark)(F.col("text")) >= quality.THRESHOLD)
@@ -36,6 +37,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     without ``doc_id`` is named by a hash of its text; all columns of a row that stays are
     returned, whatever their names; an empty table stays empty.
     """
+    small_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
@@ -46,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays; a row without ``doc_id`` is named by a hash of its text; all columns of a row
     that stays are returned, whatever their names; an empty table stays empty.
     """
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -66,6 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is empty and has no ids; repeated rows are encoded alike; other columns
     are not read; an empty table stays empty.
     """
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
