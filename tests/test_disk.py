@@ -43,7 +43,7 @@ def test_passes_take_each_others_place(spark):
     discard(one)
 
 
-@pytest.mark.parametrize(("name", "own"), [("n1_describe", ["described"]), ("n5_team_points", []), ("m4_curve_grid", [])])
+@pytest.mark.parametrize(("name", "own"), [("n1_describe", ["described"]), ("n5_team_points", []), ("m4_curve_grid", []), ("l11_cap_grid", [])])
 def test_studies_keep_three_tables(spark, monkeypatch, name, own):
     monkeypatch.setattr(strength, "TOLERANCE", 2e-4 + len(name) * 1e-9)  # so that nothing is known yet
     before = tables(spark)
