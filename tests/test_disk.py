@@ -1,10 +1,11 @@
 """What queries leave on disk, and how wide the rows are that they shuffle."""
 
+import datetime as dt
 import os
 
 import pytest
 
-from oddsmill.operators import form, strength
+from oddsmill.operators import backtest, form, strength
 from oddsmill.plans import catalog, rebuild
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import discard, shared_dir, written
@@ -54,3 +55,38 @@ def test_studies_keep_three_tables(spark, monkeypatch, name, own):
 def test_expectations_keep_their_columns(spark):
     rows = rebuild.expectations(spark, SF)
     assert {"fixture_id", "season", "match_date", "home_team_id", "home_score", "away_team_id", "away_score", "expected_home", "expected_total", "home_attack", "league_average"} <= set(rows.columns)
+
+
+def exchanged(df):
+    """Names of the columns of every shuffle in the plan, one list each."""
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "Exchange":
+            out = node.output()
+            found.append([out.apply(k).name() for k in range(out.size())])
+        children = node.children()
+        waiting += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+@pytest.fixture
+def large(spark):
+    """Plans as for tables too large to be broadcast unasked."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in own:
+        spark.conf.unset(k)
+
+
+def evaluated(spark):
+    history = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(k), k % 7, k % 5) for k in range(200)], "match_date date, home_score int, away_score int")
+    asked = [(f"f{k}", dt.date(2020, 6, 1) + dt.timedelta(k % 9), k % 6, k % 4, 4.5, 0.5, 3.0, 2.0) for k in range(40)]
+    return history, spark.createDataFrame(asked, "fixture_id string, as_of date, ah int, aa int, total_line double, margin_line double, expected_home double, expected_away double")
+
+
+def test_arrays_of_a_date_are_not_shuffled_with_the_fixtures(large):
+    shuffles = exchanged(backtest.history_events(*evaluated(large), "hist"))
+    assert any("fixture_id" in c for c in shuffles) and not any("fixture_id" in c and "_total" in c for c in shuffles)
