@@ -90,3 +90,20 @@ def evaluated(spark):
 def test_arrays_of_a_date_are_not_shuffled_with_the_fixtures(large):
     shuffles = exchanged(backtest.history_events(*evaluated(large), "hist"))
     assert any("fixture_id" in c for c in shuffles) and not any("fixture_id" in c and "_total" in c for c in shuffles)
+
+
+def both_models(spark):
+    history, asked = evaluated(spark)
+    return backtest.poisson_events(backtest.history_events(history, asked, "hist"), "expected_home", "expected_away", "poisson")
+
+
+def test_fixtures_are_counted_before_they_are_repeated_for_every_weight(large):
+    both = both_models(large)
+    table = backtest.swept_summary(both.unionByName(both.filter("fixture_id = 'f7'")), "poisson", "hist", (0, 70, 100))
+    assert not any("fixture_id" in c and "weight" in c for c in exchanged(table))
+    want = {r.weight: r for r in backtest.summary(backtest.losses(backtest.sweep(both.unionByName(both.filter("fixture_id = 'f7'")), "poisson", "hist", (0, 70, 100))), ["weight"]).collect()}
+    got = table.collect()
+    assert len(got) == 3 and {r.fixtures for r in got} == {40}
+    for r in got:
+        assert r.asDict() == pytest.approx(want[r.weight].asDict())
+    assert backtest.swept_summary(both.limit(0), "poisson", "hist").collect() == []
