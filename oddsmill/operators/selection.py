@@ -12,11 +12,11 @@ MOST = 100_000
 
 def _values_at(rows: DataFrame, ranks: list[int], low: float, high: float, before: int, bins: int, most: int) -> dict[int, float]:
     """The values of the given ranks (from 0), all of which lie in ``rows``: column v from ``low`` to ``high``, ``before`` smaller ones elsewhere."""
-    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
     width = (high - low) / bins
-    if width <= 0 or low + width == low or counts.limit(most + 1).count() <= most:
+    # Rows are counted, not their different values, as grouping these would shuffle the column; equal ones end in a range of no width.
+    if width <= 0 or low + width == low or rows.limit(most + 1).count() <= most:
         found, seen = {}, before
-        for r in counts.orderBy("v").collect():  # at most ``most`` values, or equal ones
+        for r in rows.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect():  # at most ``most`` values, or equal ones
             for k in ranks:
                 if seen <= k < seen + r.n:
                     found[k] = r.v

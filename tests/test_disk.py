@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from oddsmill.operators import backtest, form, strength
+from oddsmill.operators import backtest, form, residuals, strength
 from oddsmill.plans import catalog, rebuild
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import discard, shared_dir, written
@@ -107,3 +107,13 @@ def test_fixtures_are_counted_before_they_are_repeated_for_every_weight(large):
     for r in got:
         assert r.asDict() == pytest.approx(want[r.weight].asDict())
     assert backtest.swept_summary(both.limit(0), "poisson", "hist").collect() == []
+
+
+def test_ratios_shuffle_residuals_before_their_treatments(large):
+    rows = [(f"f{k}", dt.date(2020, 1, 1) + dt.timedelta(k), k % 3, k % 2, 20.0 + k % 11, 21.0 + k % 4) for k in range(60)]
+    frame = large.createDataFrame(rows, "fixture_id string, match_date date, team_id int, is_home int, observed double, expected double").selectExpr("*", "observed - expected AS residual")
+    made = [residuals.predictions(residuals.treated(residuals.flagged(frame, team_order=order))) for order in (True, False)]
+    assert [len(exchanged(x)) for x in made] == [1, 1] and not any(c.startswith(("observed_", "mu")) for c in exchanged(made[0])[0])
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    got, want = ({r.fixture_id: r.asDict() for r in x.collect()} for x in made)
+    assert got == want and len(got) == 60
