@@ -117,3 +117,9 @@ def test_ratios_shuffle_residuals_before_their_treatments(large):
     assert made[0]._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     got, want = ({r.fixture_id: r.asDict() for r in x.collect()} for x in made)
     assert got == want and len(got) == 60
+
+
+@pytest.mark.parametrize("name", ["l5_leaderboard"])
+def test_leaderboards_shuffle_no_treatment(large, name):
+    shuffles = exchanged(catalog.QUERIES[name](large, SF))
+    assert any("team_id" in c for c in shuffles) and not any(x.startswith("observed_") for c in shuffles for x in c)
