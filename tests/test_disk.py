@@ -119,7 +119,7 @@ def test_ratios_shuffle_residuals_before_their_treatments(large):
     assert got == want and len(got) == 60
 
 
-@pytest.mark.parametrize("name", ["l5_leaderboard"])
+@pytest.mark.parametrize("name", ["l5_leaderboard", "l6_gain_on_raw"])
 def test_leaderboards_shuffle_no_treatment(large, name):
     shuffles = exchanged(catalog.QUERIES[name](large, SF))
     assert any("team_id" in c for c in shuffles) and not any(x.startswith("observed_") for c in shuffles for x in c)
