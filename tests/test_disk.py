@@ -123,3 +123,8 @@ def test_ratios_shuffle_residuals_before_their_treatments(large):
 def test_leaderboards_shuffle_no_treatment(large, name):
     shuffles = exchanged(catalog.QUERIES[name](large, SF))
     assert any("team_id" in c for c in shuffles) and not any(x.startswith("observed_") for c in shuffles for x in c)
+
+
+@pytest.mark.parametrize("name", ["k7_weight_summary", "k12_final_weights"])
+def test_weight_summaries_shuffle_no_row_a_fixture_and_weight(large, name):
+    assert not any("fixture_id" in c and "weight" in c for c in exchanged(catalog.QUERIES[name](large, SF)))
