@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from oddsmill.functions import rating as fx
 from oddsmill.operators import backtest, distributions, expected, form, integrity, keys, lineups, markets, residuals, season_log, strength, upsert
 from oddsmill.plans import rebuild
-from oddsmill.plans.catalog import _CURVE, _KEY, _MATCH, _swept, query, r, seasonal, sql
+from oddsmill.plans.catalog import _CURVE, _KEY, _MATCH, _swept, query, r, seasonal, sql, team_rows
 from oddsmill.sources import tables
 from oddsmill.sources import testdata as td
 from oddsmill.sources.storage import shared_dir
@@ -339,7 +339,8 @@ _BY_CURVE = f"({_CURVE.replace('x', 'o.rd')}) / o.rd"
 
 @query("m2_repriced", sql(f"SELECT s.fixture_id, s.team_id, {r(f'expected * (({_CURVE.replace('x', 's.ra')}) / s.ra) * ({_BY_CURVE})', 'predicted')} FROM res JOIN raw s USING (fixture_id, team_id) JOIN raw o ON o.fixture_id = s.fixture_id AND o.team_id = s.opponent_id WHERE s.ra > 0 AND o.rd > 0", "res", "raw"))
 def _(spark, sf):
-    raw = _raw(spark, sf)
-    other = raw.select("fixture_id", F.col("team_id").alias("opponent_id"), F.col("raw_defence").alias("opponent_defence"))
-    rows = residuals.team_residuals(rebuild.expectations(spark, sf)).join(raw.select("fixture_id", "team_id", "opponent_id", F.col("raw_attack").alias("attack")), ["fixture_id", "team_id"]).join(other, ["fixture_id", "opponent_id"])
-    return residuals.repriced(rows.filter("attack > 0 AND opponent_defence > 0")).select("fixture_id", "team_id", "predicted")
+    # The table of strength has the raw multipliers of the same rows.
+    raw = rebuild.converged(spark, sf).select("fixture_id", "is_home", F.col("raw_attack").alias("attack"), F.col("raw_defence").alias("defence"))
+    fixtures = rebuild.expectations(spark, sf).drop(*[f"{s}_{c}" for s in ("home", "away") for c in ("attack", "defence")])
+    rows = team_rows(residuals.with_multipliers(fixtures, raw)).filter("attack > 0 AND opponent_defence > 0")
+    return residuals.repriced(rows).select("fixture_id", "team_id", "predicted")

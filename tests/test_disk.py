@@ -128,3 +128,10 @@ def test_leaderboards_shuffle_no_treatment(large, name):
 @pytest.mark.parametrize("name", ["k7_weight_summary", "k12_final_weights"])
 def test_weight_summaries_shuffle_no_row_a_fixture_and_weight(large, name):
     assert not any("fixture_id" in c and "weight" in c for c in exchanged(catalog.QUERIES[name](large, SF)))
+
+
+def test_repricing_reads_the_raw_multipliers_of_the_strength_table(large):
+    rebuild.expectations(large, SF)
+    before = tables(large)
+    frame = catalog.QUERIES["m2_repriced"](large, SF)
+    assert tables(large) == before and len(exchanged(frame)) <= 3 and frame.count() > 0
